@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm.conversations import conversation_defects, rebuild_conversations
+from weftgraph.llm.leakage import renamed_leaks, verbatim_leaks
 from weftgraph.llm.secrets import credentials, redact_files
+from weftgraph.llm.source_origin import foreign_files
+from weftgraph.llm.spam_pages import spam_pages
 from weftgraph.session import table
 
 
@@ -27,11 +30,31 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact_files(table(spark, d, "source_files"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return foreign_files(table(spark, d, "source_files"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return verbatim_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_renamed(spark: SparkSession, d: str) -> DataFrame:
+    return renamed_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam_pages(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_conversations": p1_conversations,
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
+    "p6_found": p6_found,
+    "p8_found": p8_found,
+    "p8_renamed": p8_renamed,
+    "p10_found": p10_found,
 }
 
 _BLANK = r"[\s\p{Z}\x{0085}\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]"
