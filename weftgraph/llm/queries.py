@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm.conversations import conversation_defects, rebuild_conversations
 from weftgraph.llm.leakage import renamed_leaks, verbatim_leaks
+from weftgraph.llm.neighbours import neighbour_pairs
 from weftgraph.llm.secrets import credentials, redact_files
 from weftgraph.llm.source_origin import foreign_files
 from weftgraph.llm.spam_pages import spam_pages
@@ -30,6 +31,10 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact_files(table(spark, d, "source_files"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbour_pairs(table(spark, d, "messages"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return foreign_files(table(spark, d, "source_files"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_conversations": p1_conversations,
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p8_found": p8_found,
     "p8_renamed": p8_renamed,
