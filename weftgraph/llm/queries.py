@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm.conversations import conversation_defects, rebuild_conversations
 from weftgraph.llm.leakage import renamed_leaks, verbatim_leaks
+from weftgraph.llm.mixing import mixture, shares_reached
 from weftgraph.llm.neighbours import neighbour_pairs
 from weftgraph.llm.secrets import credentials, redact_files
 from weftgraph.llm.source_origin import foreign_files
@@ -47,6 +48,14 @@ def p8_renamed(spark: SparkSession, d: str) -> DataFrame:
     return renamed_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares_reached(p9_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages(table(spark, d, "documents"))
 
@@ -60,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p8_found": p8_found,
     "p8_renamed": p8_renamed,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
 
