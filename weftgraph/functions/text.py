@@ -193,10 +193,11 @@ REFERENCE_PATTERNS: dict[str, dict[str, str]] = {
 
 def extract_references(rows: DataFrame, lang: Column, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``id, kind, target``: references by the language's spellings and addresses in any text, each (kind, target) once."""
+    tagged = lambda found, kind: F.transform(found, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("target")))
     found = F.array().cast("array<struct<kind:string,target:string>>")
     for name, patterns in REFERENCE_PATTERNS.items():
         for kind, p in patterns.items():
-            got = F.transform(F.regexp_extract_all(text_col, F.lit(p), 1), lambda t, k=kind: F.struct(F.lit(k).alias("kind"), t.alias("target")))
+            got = tagged(F.regexp_extract_all(text_col, F.lit(p), 1), kind)
             mine = F.lit(True) if name == "any" else lang.isin("ts", "tsx", "js", "jsx") if name == "ts" else lang.isin("css", "scss") if name == "css" else lang == name
             found = F.concat(found, F.when(F.coalesce(mine, F.lit(False)), got).otherwise(F.array().cast("array<struct<kind:string,target:string>>")))
     return rows.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(found)).alias("r")).select("id", "r.kind", "r.target")

@@ -146,9 +146,9 @@ def keyword_boost(rows: DataFrame, keywords: Sequence[str], fields: Sequence[str
         for k in low:
             inside = inside | text.contains(k)
         words = F.filter(F.split(text, SPLIT), lambda w: F.length(w) > 2)
-        best = F.lit(0.0)
-        for k in low:
-            best = F.greatest(best, F.coalesce(F.array_max(F.transform(words, lambda w, k=k: text_similarity(w, F.lit(k)))), F.lit(0.0)))
+        # a lambda with a second parameter would get the index, so the keyword comes from an enclosing function
+        near = lambda k: F.array_max(F.transform(words, lambda w: text_similarity(w, F.lit(k))))
+        best = F.greatest(F.lit(0.0), F.lit(0.0), *(F.coalesce(near(k), F.lit(0.0)) for k in low))
         return F.when(F.length(F.trim(text)) == 0, 0.0).when(inside, 1.0).otherwise(best)
 
     sims = [of(f) for f in fields]
@@ -242,3 +242,56 @@ def fuzzy_words(rows: DataFrame, keywords: Sequence[str], threshold: float = 0.7
         full = got.groupBy("id").agg(F.count_distinct("keyword").alias("n")).where(F.col("n") == len(set(x.lower() for x in keywords)))
         got = got.join(full.select("id"), "id", "left_semi")
     return got if limit is None else got.orderBy(F.col("similarity").desc(), "id", "word").limit(limit)
+
+
+def batch_vector_topk(queries: DataFrame, rows: DataFrame, k: int = 5, *, id_col: str = "id", vec_col: str = "vec", block: int = 2_048) -> DataFrame:
+    """``query, id, score``: for every row of ``queries(query, vec)`` its k most similar other rows (ties by id), exactly.
+
+    The queries come in blocks of at most ``block`` vectors, whose size is thus bounded; each block is one matrix product
+    per Arrow batch over a scan of the rows, and only a batch's own best k per query leave it. The exact way beside the
+    learned partitions of the training-data operators, for stated query sets.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    spark = rows.sparkSession
+    data = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
+    asked = queries.select(F.col("query").cast("long").alias("query"), F.col("vec").cast("array<double>").alias("vec")).where("query is not null and vec is not null")
+    out, last = None, None
+    while True:
+        part = asked if last is None else asked.where(F.col("query") > last)
+        got = part.orderBy("query").limit(block).collect()
+        if not got and out is not None:
+            break
+        last = got[-1][0] if got else None
+        dim = len(got[0][1]) if got else 0
+        q = np.array([r[1] for r in got if len(r[1]) == dim]).reshape(-1, dim)
+        ids = np.array([r[0] for r in got if len(r[1]) == dim])
+        n = np.linalg.norm(q, axis=1, keepdims=True)
+        shared = spark.sparkContext.broadcast((ids, np.divide(q, n, out=np.zeros_like(q), where=n > 0)))
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            own, unit = shared.value
+            for b in batches:
+                b = b[b["vec"].map(len) == unit.shape[1]]
+                if not len(b) or not len(own):
+                    continue
+                x, other = np.stack(b["vec"].to_numpy()), b["id"].to_numpy()
+                m = np.linalg.norm(x, axis=1)
+                s = np.round(unit @ (x / np.where(m > 0, m, 1)[:, None]).T, 12)
+                s[own[:, None] == other[None, :]] = -np.inf
+                # the smaller id first at equal scores
+                order = np.lexsort((np.broadcast_to(other, s.shape), -s), axis=1)[:, :k]
+                a = np.repeat(own, order.shape[1])
+                got = pd.DataFrame({"query": a, "id": other[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                yield got[np.isfinite(got["score"])]
+
+        found = data.mapInPandas(scan, "query long, id long, score double")
+        w = W.partitionBy("query").orderBy(F.col("score").desc(), "id")
+        found = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+        out = found if out is None else out.unionByName(found)
+        if len(got) < block:
+            break
+    return out

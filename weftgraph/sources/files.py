@@ -272,11 +272,12 @@ SCOPES = {
 def code_scopes(files: DataFrame, lang, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``id, kind, name``: functions and classes by their spelling; a full parser can be registered instead."""
     t = "array<struct<kind:string,name:string>>"
+    tagged = lambda names, kind: F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
     found = F.array().cast(t)
     for name, patterns in SCOPES.items():
         mine = lang.isin("ts", "tsx", "js", "jsx") if name == "ts" else lang == name
         for kind, p in patterns.items():
-            got = F.transform(F.regexp_extract_all(text_col, F.lit(p), 1), lambda n, k=kind: F.struct(F.lit(k).alias("kind"), n.alias("name")))
+            got = tagged(F.regexp_extract_all(text_col, F.lit(p), 1), kind)
             found = F.concat(found, F.when(F.coalesce(mine, F.lit(False)), got).otherwise(F.array().cast(t)))
     return files.select(F.col(id_col).alias("id"), F.explode(found).alias("s")).select("id", "s.kind", "s.name")
 
