@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,8 +203,6 @@ def changes_between(changes: DataFrame, start: str, end: str) -> DataFrame:
 
 def line_diff(rows: DataFrame, old: str, new: str) -> DataFrame:
     """``change_type, lines_added, lines_removed`` per row; created and deleted texts need no diff, updates use Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("added long, removed long")
     def diff(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         import difflib

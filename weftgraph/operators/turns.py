@@ -19,7 +19,7 @@ def turns(messages: DataFrame) -> DataFrame:
     w = W.partitionBy("conversation_id").orderBy("place")
     m = m.withColumn("turn_no", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w)).where("turn_no > 0")
     other = F.col("role") != "user"
-    said = other & (F.length(F.trim("content")) > 0)
+    said = other & F.col("content").rlike(r"[^\s\p{Z}]")
     text = F.concat("content", F.when(F.length("reasoning") > 0, F.concat(F.lit("\n\nReasoning: "), "reasoning")).otherwise("")) if "reasoning" in have else F.col("content")
     tools = F.coalesce(F.col("n_tools"), F.lit(0)) if "n_tools" in have else F.lit(0)
     when = F.col("ts") if "ts" in have else F.col("place")

@@ -145,7 +145,7 @@ _ND = "(SELECT DISTINCT uuid, node_name, source_path FROM nodes WHERE node_label
  SELECT uuid, round(0.5 + CASE WHEN max(s) >= 0.6 THEN max(s) * 0.15 ELSE 0 END, 6) AS score FROM w GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     n = t.nodes.where("node_label in ('File', 'DataFile')").select("uuid", "node_name", "source_path").distinct().withColumn("score", F.lit(0.5))
-    return V.keyword_boost(n, ["cache", "tokenizer"], ["node_name", "source_path"]).select("uuid", F.round("score", 6).alias("score"))
+    return V.keyword_boost(n, ["cache", "tokenizer"], ["node_name", "source_path"]).groupBy("uuid").agg(F.round(F.max("score"), 6).alias("score"))
 
 
 def judged(t: Tables) -> tuple[DataFrame, DataFrame]:

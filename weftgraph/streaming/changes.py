@@ -64,7 +64,7 @@ def expired(rows: DataFrame, now, days: int, ts: str = "last_access", key: str =
 def gap_sessions(events: DataFrame, gap_seconds: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """``key, session_no, start, end, n`` by gaps between neighbouring events, for finished tables."""
     w = W.partitionBy(key).orderBy(ts, tie)
-    new = F.coalesce((F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) > gap_seconds * 1_000_000, F.lit(True))
+    new = F.coalesce((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(F.col(ts).cast("timestamp")).over(w))) > gap_seconds * 1_000_000, F.lit(True))
     s = events.withColumn("_n", new.cast("int")).withColumn("session_no", F.sum("_n").over(w))
     return s.groupBy(key, "session_no").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n"))
 
