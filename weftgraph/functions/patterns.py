@@ -84,23 +84,34 @@ def glob_names(glob: str, path: bool = False) -> str | None:
         elif c == "?":
             out += "[^/]" if path else "(?s:.)"
         elif c == "[":
-            end = glob.find("]", i + 2)
-            while end > 0 and glob[:end].rfind("[:") > i and ":]" not in glob[glob[:end].rfind("[:") : end + 1]:
-                end = glob.find("]", end + 1)
-            if end < 0:
+            found = _bracket(glob, i + 1)
+            if found is None:
                 return None
-            body = glob[i + 1 : end]
-            negated = body[:1] in "!^" and len(body) > 1
-            body = body[1:] if negated else body
-            body = re.sub(r"\[:(\w+):\]", lambda m: POSIX.get(m[1], ""), body).replace("[", r"\[") if "[:" in body else body.replace("\\", "\\\\").replace("[", r"\[")
-            out += f"[{'^' if negated else ''}{body}]"
-            i = end
+            body, i = found
+            out += body
         else:
             out += _escape(c)
         i += 1
     return f"^{out}$"
 
 
+def _bracket(glob: str, at: int) -> tuple[str, int] | None:
+    """The class whose text begins at ``at``, and where its closing bracket stands; None if it never closes."""
+    negated = glob[at : at + 1] in ("!", "^") and glob[at + 1 : at + 2] != ""
+    at += negated
+    body, first = "", at
+    while at < len(glob):
+        m = re.match(r"\[:(\w+):\]", glob[at:])
+        if m:
+            body, at = body + POSIX.get(m[1], ""), at + m.end()
+            continue
+        if glob[at] == "]" and at > first:
+            return f"[{'^' if negated else ''}{body}]", at
+        body += "\\" + glob[at] if glob[at] in "\\[]&^" else glob[at]
+        at += 1
+    return None
+
+
 def valid_regex(pattern: str) -> bool:
     try:
         re.compile(pattern)

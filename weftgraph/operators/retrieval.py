@@ -267,7 +267,7 @@ def batch_vector_topk(queries: DataFrame, rows: DataFrame, k: int = 5, *, id_col
             break
         last = got[-1][0] if got else None
         dim = len(got[0][1]) if got else 0
-        q = np.array([r[1] for r in got if len(r[1]) == dim]).reshape(-1, dim)
+        q = np.array([r[1] for r in got if len(r[1]) == dim], dtype=float).reshape(-1, max(dim, 1))
         ids = np.array([r[0] for r in got if len(r[1]) == dim])
         n = np.linalg.norm(q, axis=1, keepdims=True)
         shared = spark.sparkContext.broadcast((ids, np.divide(q, n, out=np.zeros_like(q), where=n > 0)))
