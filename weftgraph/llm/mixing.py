@@ -149,7 +149,7 @@ def mixture(
 def shares_reached(taken: DataFrame, mixes: DataFrame) -> DataFrame:
     """``mix_name, source_name, target_share, n_documents, n_tokens, reached_share``, shares relative to the mix."""
     got = taken.groupBy("mix_name", "source_name").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.col("n_tokens") * F.col("times")).alias("n_tokens"))
-    t = _targets(mixes).select("mix_name", "source_name", (F.col("share") / F.col("total_share")).alias("target_share"))
+    t = _targets(mixes).select("mix_name", "source_name", (F.col("share") / F.nullif(F.col("total_share"), F.lit(0.0))).alias("target_share"))
     mix = W.partitionBy("mix_name")
     return t.join(got, ["mix_name", "source_name"], "left").select(
         "mix_name", "source_name", "target_share",
