@@ -53,7 +53,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
-def sample_graph(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
+def sample_graph(x: np.ndarray, k: int, block: int = 256) -> np.ndarray:
     """The k nearest rows of each row by cosine."""
     out = np.empty((len(x), k), dtype=np.int64)
     for lo in range(0, len(x), block):
@@ -182,9 +182,10 @@ def nearest_classes(classes: DataFrame, dim: int, k: int, scratch: Scratch, samp
     """``a, b, score``: for each class of equal vectors (``uuid, vec``) its k most similar other classes."""
     spark = classes.sparkSession
     n = classes.count()
-    drawn = classes.orderBy(F.xxhash64("uuid"), "uuid").limit(sample_rows).select("vec").toPandas()
+    drawn = _matrix(classes.orderBy(F.xxhash64("uuid"), "uuid").limit(sample_rows).select("vec").toPandas()["vec"], dim)
     n_parts = max(1, min(-(-n // PART_ROWS), len(drawn) // PART_SAMPLE))
-    router = spark.sparkContext.broadcast(fit_router(unit(_matrix(drawn["vec"], dim)), n_parts))
+    router = spark.sparkContext.broadcast(fit_router(unit(drawn), n_parts))
+    del drawn
     probes = router.value.probes
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
