@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.llm.sampling import bounded_sample
 from weftgraph.session import Scratch
 
 #: Most vectors that graph and network are fitted on; a tenth of them is held out to choose the number of parts to visit.
@@ -182,7 +183,8 @@ def nearest_classes(classes: DataFrame, dim: int, k: int, scratch: Scratch, samp
     """``a, b, score``: for each class of equal vectors (``uuid, vec``) its k most similar other classes."""
     spark = classes.sparkSession
     n = classes.count()
-    drawn = _matrix(classes.orderBy(F.xxhash64("uuid"), "uuid").limit(sample_rows).select("vec").toPandas()["vec"], dim)
+    drawn = bounded_sample(classes, F.col("uuid"), sample_rows, n).toPandas().sort_values("uuid")
+    drawn = _matrix(drawn["vec"], dim)
     n_parts = max(1, min(-(-n // PART_ROWS), len(drawn) // PART_SAMPLE))
     router = spark.sparkContext.broadcast(fit_router(unit(drawn), n_parts))
     del drawn
