@@ -56,26 +56,28 @@ def page_features(text: str) -> list[float]:
     """The features of a text, in the order of ``FEATURES``; shares are of the characters that are not blank."""
     units = [u for u in BREAK.split(text) if u and not u.isspace()]
     total = float(sum(map(len, units))) or 1.0
-    bare = [LINK.sub(" ", u) for u in units]
+    # most units hold none of the marks that a link needs, so most are spared the pattern
+    bare = [LINK.sub(" ", u) if "//" in u or "](" in u or "<" in u or "ww." in u.lower() else u for u in units]
     words = [WORD.findall(b.lower()) for b in bare]
-    content = Counter(w for ws in words for w in ws if w not in FUNCTION_WORDS)
+    owns = [[w for w in ws if w not in FUNCTION_WORDS] for ws in words]
+    content: Counter[str] = Counter()
+    for own in owns:
+        content.update(own)
     n_content = sum(content.values())
     n_words = sum(map(len, words))
     # a keyword recurs more often than prose repeats its subject
-    hot = {w for w, c in content.items() if c >= 5 and c >= 0.04 * n_content}
+    least = max(5, 0.04 * n_content)
+    hot = {w for w, c in content.items() if c >= least}
     heads = Counter(ws[0] for ws in words if ws)
     link = repeat = tag = pair = sentence = listed = 0.0
-    for u, b, ws in zip(units, bare, words):
+    for u, b, ws, own in zip(units, bare, words, owns):
         size = len(u)
-        own = [w for w in ws if w not in FUNCTION_WORDS]
-        stop = 1 - len(own) / len(ws) if ws else 0.0
-        ends = u.rstrip()[-1:] in ".!?:;…"
-        prose = len(ws) >= 4 and stop >= 0.2 and ends
-        is_link = size - len(b.replace(" ", "")) - u.count(" ") > 0.5 * size
-        is_tag = len(TAG.findall(u)) >= 2
-        is_repeat = bool(own) and not prose and sum(w in hot for w in own) >= 0.5 * len(own)
-        is_pair = bool(ws) and len(u.split()) <= 4 and heads[ws[0]] >= 4 and bool(PAIR.match(u))
-        if CODE.search(u):
+        prose = len(ws) >= 4 and 5 * (len(ws) - len(own)) > len(ws) and u.rstrip()[-1:] in ".!?:;…"
+        is_link = b is not u and size - len(b.replace(" ", "")) - u.count(" ") > 0.5 * size
+        is_tag = "#" in u and len(TAG.findall(u)) >= 2
+        is_repeat = bool(own) and bool(hot) and not prose and sum(w in hot for w in own) >= 0.5 * len(own)
+        is_pair = bool(ws) and heads[ws[0]] >= 4 and len(u.split()) <= 4 and bool(PAIR.match(u))
+        if (is_repeat or is_pair) and CODE.search(u):
             is_repeat = is_pair = False
         link += size * is_link
         tag += size * is_tag
