@@ -57,6 +57,12 @@ QUERY = re.compile(
     re.I,
 )
 HEADER = re.compile(r"\b(Basic|Bearer)\s+([A-Za-z0-9+/=_.\-:~]{8,})")
+# Calls whose last literal after another one is a password.
+CALL = re.compile(
+    r"\b(?:log_?in|log_?on|sign_?in|connect|dial|authenticate|basic_?auth|set_?credentials|create_?connection)\s*\([^()\n]*?['\"`][^'\"`\n]*['\"`]\s*,\s*"
+    r"(?:\w+\s*=\s*)?(?P<q>['\"`])(?P<v>[^'\"`\n]{6,})(?P=q)\s*,?\s*\)",
+    re.I,
+)
 SPLIT = re.compile(r"(['\"])([^'\"\n]{4,})\1[ \t]*(?:\+|\.)?[ \t]*\\?\r?\n[ \t]*(?:\+[ \t]*)?(['\"])([^'\"\n]{2,})\3")
 SPLIT_LEFT = re.compile(r"([A-Za-z_][\w.\-]*)[\"']?\s*(?::=|=|:)\s*$")
 # Wordings that put a credential into prose, notes and commands.
@@ -80,7 +86,7 @@ DEFAULT = re.compile(
 MARKS = (
     "pass", "pwd", "pw ", "secret", "token", "key", "bearer", "cred", "kennwort", "contrase", "clave", "jeton", "clef",
     "auth", "login", "user", "compte", "konto", "cuenta", "benutzer", "usuario", "utilisateur", "account", "basic",
-    "://", "sk_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_", "xox", "akia", "aiza", "glpat", "eyj", "hf_", "rf_",
+    "connect(", "dial(", "connection(", "sign_in", "signin", "logon", "log_on", "log_in", "://", "sk_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_", "xox", "akia", "aiza", "glpat", "eyj", "hf_", "rf_",
     " -p", " -u", " -a", "?",
 )
 
@@ -285,13 +291,16 @@ def find_credentials(text: str, source_path: str | None) -> list[Hit]:
             v = m["v"].rstrip(".,;)")
             if secret_shape(v, strict=True) and not re.match(r"https?:|\w+://", v):
                 add(lo + m.start("v"), lo + m.start("v") + len(v), "", "prose")
+        for m in CALL.finditer(line):
+            if secret_shape(m["v"]):
+                add(lo + m.start("v"), lo + m.end("v"), "", "call")
         for m in ISSUER.finditer(line):
             if not placeholder(m[0]) and (m.start() == 0 or not re.match(r"[A-Za-z0-9+/]", line[m.start() - 1])):
                 add(lo + m.start(), lo + m.end(), "", "issuer")
     for m in SPLIT.finditer(text):
         left = SPLIT_LEFT.search(text[max(0, m.start() - 60) : m.start()])
         whole = m[2] + m[4]
-        if left and (ISSUER.match(whole) or re.fullmatch(r"[A-Za-z0-9_\-+/=.]{20,}", whole) and secret_shape(whole, strict=True)):
+        if left and (ISSUER.match(whole) or re.fullmatch(r"[^\s'\"`,;(){}<>]{20,}", whole) and secret_shape(whole, strict=True)):
             add(m.start(2), m.end(2), left[1], "split")
             add(m.start(4), m.end(4), left[1], "split-rest")
     hits.sort(key=lambda h: (h.start, -h.end))
