@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.sampling import bounded_sample
 from weftgraph.llm.trees import fit_forest
 from weftgraph.session import Scratch
 
@@ -128,8 +129,8 @@ def spam_scores(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFra
     pages = documents.where("text is not null and doc_id is not null").select("doc_id", "text", F.coalesce(host, F.lit("")).alias("host"))
     feats = scratch.write(pages.mapInPandas(_features, "doc_id long, host string, x array<double>"), "features")
     sure = ((F.col("x")[0] >= SURE_SPAM) & (F.col("x")[FEATURES.index("sentences")] <= SURE_CLEAN)) | (F.col("x")[0] <= SURE_CLEAN)
-    # the order of a hash is a draw that does not depend on how rows are stored
-    drawn = feats.where(sure).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("x").toPandas()
+    labelled = feats.where(sure)
+    drawn = bounded_sample(labelled, F.col("doc_id"), sample_rows, labelled.count()).select("doc_id", "x").toPandas().sort_values("doc_id")
     x = np.array(drawn["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     model = spark.sparkContext.broadcast(fit_forest(x, weak_label(x), n_trees=25, max_depth=6, min_leaf=5))
 
