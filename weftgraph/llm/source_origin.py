@@ -63,13 +63,15 @@ CODE_TYPES = frozenset("ts tsx js jsx mjs cjs py go java rb rs php c cc cpp h cs
 TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d+(?:\.\d+)?|[^\s\w]")
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*")
 WORDS = re.compile(r"\w+")
+# the first number of a line; what tools write tends to count up from line to line
+FIRST_NUMBER = re.compile(r"(?m)^[^\d\n]*(\d{1,9})")
 COMMENT = re.compile(r"/\*.*?\*/|\"\"\".*?\"\"\"|(?m:^\s*(?://|#(?!!)|\*|--).*$)", re.S)
 LITERAL = re.compile(r"'''(?s:.*?)'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|\b\d+(?:\.\d+)?\b")
 BLOB = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 
 FEATURES = (
     "size", "ratio", "entropy", "identifier", "short_identifiers", "comments", "longest_line", "mean_line", "digits", "literals",
-    "blanks", "line_shapes", "blob", "output_folder", "is_code", "is_style", "is_config", "numbers", "bare",
+    "blanks", "line_shapes", "blob", "output_folder", "is_code", "is_style", "is_config", "numbers", "bare", "counting",
 )
 
 
@@ -133,6 +135,7 @@ def file_features(text: str, path: str | None) -> list[float]:
     lines = body.split("\n")
     full = sum(not x.isspace() and x != "" for x in lines)
     shapes = set(map(str.strip, WORDS.sub("w", body).split("\n"))) - {""}
+    firsts = [int(x) for x in FIRST_NUMBER.findall(body)]
     raw = body.encode("utf-8", "surrogatepass")
     octets = np.frombuffer(raw, dtype=np.uint8)
     rest, inside = [], 0
@@ -162,6 +165,7 @@ def file_features(text: str, path: str | None) -> list[float]:
         float(ext in ("json", "yaml", "yml", "toml", "env", "xml", "ini")),
         sum(c for t, c in count.items() if t[0].isdigit()) / total,
         float(len(IDENTIFIER.findall(" ".join(rest)))),
+        sum(b == a + 1 for a, b in zip(firsts, firsts[1:])) / max(1, full),
     ]
 
 
@@ -212,7 +216,7 @@ def foreign_scores(files: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFram
     sample = pd.concat([draw("label = 1", max(1, round(sample_rows * share))), draw("label = 0", max(1, round(sample_rows * (1 - share))))])
     x = np.array(sample["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     y = sample["label"].to_numpy(dtype=float)
-    forest = fit_forest(x, y, n_trees=40, max_depth=12, min_leaf=5, features=0.35)
+    forest = fit_forest(x, y, n_trees=60, max_depth=9, min_leaf=12, features=0.5)
     held = forest.oob[(y == 1) & ~np.isnan(forest.oob)] if len(y) else np.array([])
     scale = float(held.mean()) if len(held) else 1.0
     forest.oob = None
