@@ -19,10 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.sampling import bounded_sample
 from weftgraph.llm.trees import fit_forest
 from weftgraph.session import Scratch
 
-#: Most rows that the forest is fitted on, half of them labelled if there are as many.
+#: Most rows that the forest is fitted on.
 SAMPLE_ROWS = 20_000
 #: Shorter bodies are no evidence that one file is a copy of another.
 LEAST_COPY_CHARS = 80
@@ -209,11 +210,9 @@ def foreign_scores(files: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFram
     feats = scratch.write(
         rows.mapInPandas(_rows, "file_uuid string, known boolean, label int, digest string, x array<double>"), "features"
     )
-    draw = lambda which, n: feats.where(which).orderBy(F.xxhash64("file_uuid"), "file_uuid").limit(n).select("x", "label").toPandas()
-    known = feats.agg(F.sum("label").alias("p"), F.count("label").alias("n")).head()
-    # the draw keeps the shares of labelled and other rows, on which the division below rests
-    share = (known["p"] or 0) / max(1, known["n"])
-    sample = pd.concat([draw("label = 1", max(1, round(sample_rows * share))), draw("label = 0", max(1, round(sample_rows * (1 - share))))])
+    labelled = feats.where("label is not null")
+    # one draw from all labelled and other rows keeps their shares, on which the division below rests
+    sample = bounded_sample(labelled, F.col("file_uuid"), sample_rows, labelled.count()).select("file_uuid", "x", "label").toPandas().sort_values("file_uuid")
     x = np.array(sample["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     y = sample["label"].to_numpy(dtype=float)
     forest = fit_forest(x, y, n_trees=60, max_depth=9, min_leaf=12, features=0.5)
