@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 # The states of a node and the states each may change to.
 TRANSITIONS: dict[str, tuple[str, ...]] = {
-    "pending": ("parsing", "skip", "error"),
-    "parsing": ("parsed", "error", "pending"),
-    "parsed": ("linking", "pending", "error"),
-    "linking": ("linked", "error", "pending"),
-    "linked": ("entities", "embedding", "pending", "error"),
-    "entities": ("embedding", "ready", "error", "pending"),
-    "embedding": ("ready", "error", "pending"),
+    "pending": ("parsing", "skip"),
+    "parsing": ("parsed", "error"),
+    "parsed": ("linking",),
+    "linking": ("linked", "error"),
+    "linked": ("entities", "skip"),
+    "entities": ("embedding", "error"),
+    "embedding": ("ready", "error"),
     "ready": ("pending",),
     "skip": ("pending",),
     "error": ("pending",),

@@ -52,6 +52,11 @@ def _(t: Tables) -> DataFrame:
     return t.source_files.where("file_lang = 'css'").select("file_uuid", "recorded_at", X.preprocess(F.col("file_content"), [block, X.split_camel_case, X.collapse_blanks]).alias("clean"))
 
 
+@R.add("preprocess_comments", r"""SELECT file_uuid, recorded_at, trim(regexp_replace(regexp_replace(file_content, '/\*.*?\*/', '', 'gs'), '(?m)(^|\s)//[^\n\r]*', '', 'g')) AS clean FROM source_files WHERE file_lang IN ('ts', 'js')""")
+def _(t: Tables) -> DataFrame:
+    return t.source_files.where("file_lang in ('ts', 'js')").select("file_uuid", "recorded_at", X.strip_comments(F.col("file_content")).alias("clean"))
+
+
 @R.add("slugify", r"SELECT DISTINCT node_name, regexp_replace(regexp_replace(lower(trim(node_name)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM nodes WHERE node_name IS NOT NULL")
 def _(t: Tables) -> DataFrame:
     return t.nodes.where("node_name is not null").select("node_name", X.slugify(F.col("node_name")).alias("slug")).distinct()
@@ -139,7 +144,7 @@ def _(t: Tables) -> DataFrame:
     return t.source_files.select(parser_name("source_path").alias("parser")).groupBy("parser").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("glob_files", r"""SELECT source_path FROM source_files WHERE regexp_matches(source_path, '^(.*/)?[^/]*\.ts$') AND NOT regexp_matches(source_path, '/(node_modules|dist|build)/')""")
+@R.add("glob_files", r"""SELECT source_path FROM source_files WHERE regexp_matches(source_path, '^(.*/)?[^/]*\.ts$') AND NOT regexp_matches(source_path, '/(node_modules|dist|\.git)/')""")
 def _(t: Tables) -> DataFrame:
     return globbed(t.source_files, ["*.ts"], path_col="source_path").select("source_path")
 

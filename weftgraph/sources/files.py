@@ -19,7 +19,7 @@ from weftgraph.functions.patterns import glob_path
 from weftgraph.functions.text import data_sections
 
 # What a scan leaves out unless told otherwise.
-DEFAULT_EXCLUDES = ("**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/__pycache__/**", "**/.venv/**", "**/coverage/**")
+DEFAULT_EXCLUDES = ("**/node_modules/**", "**/dist/**", "**/.git/**")
 # Which parser takes a file, by extension.
 PARSERS: dict[str, str] = {
     **dict.fromkeys(("ts", "tsx", "js", "jsx", "py", "go", "css", "scss", "vue", "svelte"), "code"),
