@@ -55,8 +55,8 @@ def test_recall_with_many_parts(spark, monkeypatch):
     centres = rng.normal(size=(40, 16))
     rows = [(f"u{i:05d}", centres[i % 40] + 0.5 * rng.normal(size=16)) for i in range(3000)]
     monkeypatch.setattr(N, "PART_ROWS", 250)
-    monkeypatch.setattr(N, "BASE_BLOCK", 100)
-    monkeypatch.setattr(N, "QUERY_BLOCK", 300)
+    monkeypatch.setattr(N, "BASE_BLOCK", 200)
+    monkeypatch.setattr(N, "QUERY_BLOCK", 800)
     want, got = brute(rows, 16, 5), pairs(table(spark, rows), 16, 5)
     assert len(want & got) / len(want) >= 0.95
     x = N.unit(np.stack([v for _, v in rows]).astype(np.float32))
