@@ -112,7 +112,8 @@ class Pipeline:
         df = self._all() if df is None else df
         if self.order:
             df = df.orderBy(asc(self.order[0]) if self.order[1] else desc(self.order[0]), self.key)
-        else:
+        elif self.take is not None or self.skip:
+            # without a page the default order would sort everything for nothing
             df = df.orderBy(F.col("score").desc(), self.key)
         return page(df, self.take, self.skip), seen
 
