@@ -23,6 +23,29 @@ def test_no_notices(line):
     assert not has_notice(line + "\n\ncode()") and not has_notice(line, COPY_NOTICE)
 
 
+@pytest.mark.parametrize("line", MADE)
+def test_notices_anywhere(line):
+    code = "".join(f"let a{i} = {i};\n" for i in range(40))
+    licence = "/*\n" + "".join(f" * term {i} of the licence\n" for i in range(15)) + " */\n"
+    for text in (code + "\n" + line, code + line + "\n" + code, licence + line + "\n\n" + code, code + "x" * 5000 + ";\n" + line):
+        assert has_notice(text)
+        assert line not in without_notice(text) and "let a39 = 39;" in without_notice(text)
+
+
+@pytest.mark.parametrize("line", HAND + ["let s = '// Code generated by x';", "s = \"# @generated by x\"", "emit(`Output of y; regenerate instead`)"])
+def test_no_notices_below_the_head(line):
+    text = "a();\n" * 40 + line + "\n"
+    assert not has_notice(text) and not has_notice(text, COPY_NOTICE) and line in without_notice(text)
+
+
+def test_notices_in_blocks_and_after_code():
+    code = "a();\n" * 40
+    for tail in ("/*\n  terms\n  @generated by x\n*/", "b(); // @generated by x", "b(); /* @generated by x */"):
+        assert has_notice(code + tail) and "@generated" not in without_notice(code + tail)
+    assert without_notice(code + "/* @generated by x\n text */\nb();") == code + "/*\n text */\nb();"
+    assert without_notice(code + "b(); /* @generated by x */") == code + "b(); "
+
+
 def test_copy_notices_and_paths():
     assert has_notice("/*! @license abc 1.2.3, BSD-3-Clause, https://x.example */", COPY_NOTICE) and has_notice("# Copie locale de la bibliothèque x 1.2 (licence ISC)", COPY_NOTICE)
     assert path_facts("/w/p/vendor/kit/a.js")[0] and not path_facts("/w/p/external/a.js")[0] and not path_facts("/w/vendors/x/a.js")[0]

@@ -1,6 +1,6 @@
 """Generated, minified or vendored source files, told from hand-written ones by a random forest.
 
-Notices in a file's head label it, and so do a tool's file name and a body that is nearly all literals; notices and
+Notices in a file's head or comments label it, and so do a tool's file name and a body that is nearly all literals; notices and
 names are hidden from the features. The forest learns what such files look like from the rest
 (compression ratio, token entropy, identifier lengths, comment density, line and literal shapes) and so finds those
 without any mark. Copies of a file that is known by its notice or folder count too.
@@ -54,6 +54,11 @@ COPY_NOTICE = re.compile(
 # Notices that say the opposite.
 BY_HAND = re.compile(r"\b(?:by\s+hand|used\s+to\s+be|no\s+code\s+was\s+copied|builds?\s+the\s+header|writes\s+the\s+header)\b", re.I)
 HEAD_LINES = 12
+# How comments begin, and how those end that may take several lines.
+COMMENT_START = re.compile(r"\s*(//|#(?!!)|/\*|\*|--|<!--|\"\"\"|''')")
+BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+DOCSTRINGS = frozenset(('"""', "'''"))
+BLOCK_ENDS = re.compile(r"/\*|\*/|<!--|-->|\"\"\"|'''")
 # Folders that hold other people's packages, one folder per package.
 PACKAGE_FOLDERS = frozenset("node_modules bower_components vendor third_party third-party thirdparty site-packages external externals deps pods".split())
 OUTPUT_FOLDERS = frozenset("dist build-output out gen generated __generated__ autogen _generated".split())
@@ -76,18 +81,50 @@ FEATURES = (
 )
 
 
-# A head without any of these in lower case has no notice.
+# A text without any of these in lower case has no notice.
 NOTICE_MARKS = ("generat", "autogen", "codegen", "machine", "output of", "edits ", "/*!", "g\u00e9n\u00e9r", "gener\u00e9", "g\u00e9ner", "erzeugt", "generiert", "generado")
 COPY_MARKS = ("@license", "copy of", "vendored", "copie locale", "upstream:", "contributors", "kopie der", "copia local")
 
 
 def has_notice(text: str, wording: re.Pattern = NOTICE) -> bool:
-    """Whether the file's head says that a tool made it (or, with ``COPY_NOTICE``, where it was copied from)."""
-    head = "\n".join(text.split("\n", HEAD_LINES)[:HEAD_LINES])[:4000]
-    low = head.lower()
+    """Whether the file's head or a comment anywhere says that a tool made it (or, with ``COPY_NOTICE``, where it was copied from)."""
+    low = text.lower()
     if not any(m in low for m in (COPY_MARKS if wording is COPY_NOTICE else NOTICE_MARKS)):
         return False
-    return any(not BY_HAND.search(_line(head, m.start())) for m in wording.finditer(head))
+    head = "\n".join(text.split("\n", HEAD_LINES)[:HEAD_LINES])[:4000]
+    if any(not BY_HAND.search(_line(head, m.start())) for m in wording.finditer(head)):
+        return True
+    return any(_says(c, wording) for _, c in _comments(text.split("\n")))
+
+
+def _says(comment: str, wording: re.Pattern) -> bool:
+    return bool(wording.search(comment)) and not BY_HAND.search(comment)
+
+
+def _comments(lines: list[str]) -> Iterator[tuple[int, str]]:
+    """(line number from 0, comment) of comment lines, lines of block comments and of a docstring before any code, and
+    comments at the end of a line; these last only without quotes, which may end a literal around them."""
+    close, code = "", False
+    for i, line in enumerate(lines):
+        if close:
+            end = line.find(close)
+            yield i, line if end < 0 else line[: end + len(close)]
+            if end >= 0:
+                close = ""
+            continue
+        m = COMMENT_START.match(line)
+        if m and m[1] in BLOCKS and not (code and m[1] in DOCSTRINGS):
+            end = line.find(BLOCKS[m[1]], m.end())
+            close = BLOCKS[m[1]] if end < 0 else ""
+            yield i, line if end < 0 else line[: end + len(BLOCKS[m[1]])]
+            line = "" if end < 0 else line[end + len(BLOCKS[m[1]]) :]
+        elif m and m[1] not in BLOCKS:
+            yield i, line
+            continue
+        code = code or bool(line.strip())
+        at = max(line.rfind("/*"), line.rfind(" //"), line.rfind(";//"), line.rfind(" # "))
+        if at >= 0 and not re.search("[\"'`]", line[at:]):
+            yield i, line[at:].lstrip(" ;")
 
 
 def _line(text: str, at: int) -> str:
@@ -95,7 +132,7 @@ def _line(text: str, at: int) -> str:
 
 
 def without_notice(text: str) -> str:
-    """The text without the comment lines of its head, where notices stand."""
+    """The text without the comment lines of its head, where notices stand, and without notices further down."""
     lines = text.replace("\r\n", "\n").split("\n")
     k = 0
     while k < min(len(lines), HEAD_LINES) and re.match(r"\s*(?://|#|/?\*|--|<!--|'use strict'|\"use strict\"|$)", lines[k]):
@@ -105,6 +142,15 @@ def without_notice(text: str) -> str:
             lines[k] = rest
             break
         k += 1
+    low = text.lower()
+    if any(m in low for m in NOTICE_MARKS + COPY_MARKS):
+        gone = [(i, c) for i, c in _comments(lines) if i >= k and (_says(c, NOTICE) or _says(c, COPY_NOTICE))]
+        for i, c in gone:
+            # the ends of a block of several lines stay, and so does code on the line
+            ends = BLOCK_ENDS.findall(c)
+            lines[i] = lines[i].replace(c, ends[0] if len(ends) == 1 else "", 1)
+        blank = {i for i, _ in gone if not lines[i].strip()}
+        lines = [x for i, x in enumerate(lines) if i not in blank]
     return "\n".join(lines[k:])
 
 
