@@ -16,6 +16,7 @@ from weftgraph.operators import etl as E
 from weftgraph.operators import retrieval as V
 from weftgraph.operators import traverse as T
 from weftgraph.operators import turns as U
+from weftgraph.operators.entities import canonical_of_members, name_members, similar_names
 from weftgraph.semantics import cosine, euclidean_similarity, full_match, sum0
 from weftgraph.sources.files import data_file_sections, document_paragraphs, image_facts, parse_data, run_sql, sheet_rows, unzip, virtual_files, with_text
 from weftgraph.streaming.changes import coalesce_changes, run_available, unique_within
@@ -218,3 +219,16 @@ def test_stream_without_repeats(spark, data_dir):
     s = spark.readStream.schema(spark.read.parquet(f"{data_dir}/events.parquet").schema).parquet(data_dir, pathGlobFilter="events.parquet")
     got = run_available(unique_within(s.withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "1 hour"), "unique_events")
     assert got.count() == spark.read.parquet(f"{data_dir}/events.parquet").select("event_id").distinct().count()
+
+
+def test_equal_names_are_deduplicated(spark):
+    rows = [(1, "T", "graph tokenizer", 0.2), (2, "T", "graph tokenizer", 0.9), (3, "T", "graph tokenizer", 0.9), (4, "T", "graph tokenizers", 0.5), (5, "U", "graph tokenizer", 1.0), (6, "T", "other", None), (7, "T", "other", None), (8, "T", None, 0.1), (9, "T", None, 0.1)]
+    df = spark.createDataFrame(rows, "id long, type string, name string, confidence double")
+    members = {r["id"]: r["representative"] for r in name_members(df.union(df.limit(2))).collect()}
+    assert members == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9}
+    # pairs and members together are all pairs of entities of one type at or above the threshold
+    near = {(r["a"], r["b"]) for r in similar_names(df).collect()}
+    whole = {(a, b) for a in members for b in members if a < b and (members[a] == members[b] or tuple(sorted((members[a], members[b]))) in near)}
+    assert whole == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (6, 7)}
+    assert {r["id"]: r["canonical"] for r in canonical_of_members(df).collect()} == {1: 2, 3: 2, 4: 2, 7: 6}
+    assert canonical_of_members(df.limit(0)).count() == 0

@@ -14,7 +14,8 @@ def similar_names(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     Equal names are reduced to their smallest id first, so a name that many rows share is compared once. Pairs meet in
     blocks of one type and of lengths that can reach the threshold, where an interval condition would pair all with
-    all; within them the edit distance decides. No pair at or above the threshold is lost.
+    all; within them the edit distance decides. No pair at or above the threshold is lost: pairs of rows with equal
+    names stand in ``name_members``.
     """
     e = entities.groupBy("type", "name").agg(F.min("id").alias("id")).withColumn("len", F.length("name"))
     near = F.sequence("len", F.floor(F.col("len") / F.lit(threshold) + 1e-9).cast("int"))
@@ -25,6 +26,13 @@ def similar_names(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     return j.where(sim >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), sim.alias("similarity"))
 
 
+def name_members(entities: DataFrame) -> DataFrame:
+    """``id, representative``: every entity with the smallest id of its type and name, under which ``similar_names``
+    compares it. A null type or name equals no other, so such a row represents itself."""
+    rep = entities.where("type is not null and name is not null").groupBy("type", "name").agg(F.min("id").alias("_rep"))
+    return entities.join(rep, ["type", "name"], "left").select("id", F.coalesce("_rep", "id").alias("representative")).distinct()
+
+
 def similar_vectors_in_type(entities: DataFrame, threshold: float = 0.9) -> DataFrame:
     """``a, b, similarity``: entities of one type by cosine, among given candidate rows (small sets: all pairs of a type)."""
     a = entities.select(F.col("id").alias("a"), F.col("vec").alias("va"), "type")
@@ -51,6 +59,20 @@ def canonical_of_pairs(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     return j.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical")).groupBy("id").agg(F.max("canonical").alias("canonical"))
 
 
+def canonical_of_members(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """``id, canonical`` of every entity that another one stands for, those of equal type and name included.
+
+    Of equal names the one with the highest confidence leads, then the smallest id; leaders of similar names are
+    weighed by ``canonical_of_pairs``, and every member follows its leader. Of several canonicals of one id the last counts.
+    """
+    e = entities.where("type is not null and name is not null").select("id", "type", "name", "confidence")
+    first = F.min(F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.col("id")))
+    leaders = e.groupBy("type", "name").agg(first.alias("f")).select("type", "name", F.col("f.id").alias("id"), (-F.col("f.c")).alias("confidence"))
+    best = canonical_of_pairs(leaders, similar_names(leaders, threshold)).withColumnRenamed("id", "leader")
+    top = leaders.select("type", "name", F.col("id").alias("leader")).join(best, "leader", "left").select("type", "name", F.coalesce("canonical", "leader").alias("canonical"))
+    return e.select("id", "type", "name").join(top, ["type", "name"]).where(F.col("id") != F.col("canonical")).groupBy("id").agg(F.max("canonical").alias("canonical"))
+
+
 def mention_graph(occurrences: DataFrame, minimum: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Entities (``id, key, name, type, n_mentions, n_documents``) and mentions (``src, dst``, one per occurrence)."""
     o = occurrences.where(F.coalesce("confidence", F.lit(1.0)) >= minimum).withColumn("key", entity_key(F.col("type"), F.col("name"))).withColumn("id", entity_id(F.col("type"), F.col("name")))

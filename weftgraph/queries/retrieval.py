@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators import retrieval as V
-from weftgraph.operators.entities import canonical_of_pairs, similar_names, similar_vectors_in_type
+from weftgraph.operators.entities import canonical_of_members, canonical_of_pairs, name_members, similar_names, similar_vectors_in_type
 from weftgraph.queries.registry import Registry, Tables
 
 R = Registry()
@@ -247,6 +247,21 @@ def _(t: Tables) -> DataFrame:
     return canonical_of_pairs(e, similar_names(e, 0.85))
 
 
+@R.add("dedup_members", "SELECT DISTINCT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS representative FROM part")
+def _(t: Tables) -> DataFrame:
+    return name_members(part_entities(t))
+
+
+@R.add("dedup_canonical_members", """WITH m AS (SELECT *, first_value(p_partkey) OVER (PARTITION BY p_brand, p_name ORDER BY p_size DESC, p_partkey) AS lead FROM part),
+ e AS (SELECT p_partkey AS id, p_brand AS type, p_name AS name, p_size AS c, length(p_name) AS l FROM m WHERE p_partkey = lead),
+ p AS (SELECT x.id AS a, y.id AS b, (x.c, x.l) >= (y.c, y.l) AS keep FROM e x JOIN e y ON x.type = y.type AND x.id < y.id
+  WHERE 1 - levenshtein(x.name, y.name)::DOUBLE / greatest(length(x.name), length(y.name)) >= 0.85),
+ c AS (SELECT CASE WHEN keep THEN b ELSE a END AS id, max(CASE WHEN keep THEN a ELSE b END) AS canonical FROM p GROUP BY 1)
+ SELECT p_partkey AS id, coalesce(c.canonical, lead) AS canonical FROM m LEFT JOIN c ON c.id = lead WHERE p_partkey <> coalesce(c.canonical, lead)""")
+def _(t: Tables) -> DataFrame:
+    return canonical_of_members(part_entities(t), 0.85)
+
+
 @R.add("dedup_vector_pairs", """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b
  ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.5""")
 def _(t: Tables) -> DataFrame:
