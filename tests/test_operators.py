@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import io
 import math
+import re
 import zipfile
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftgraph.functions.text import chunk_text, code_blocks, data_sections, extract_references, page_facts, page_links, repository_of, sections
+import __spark_entry__ as entry
+from weftgraph.functions.text import REFERENCE_PATTERNS, chunk_text, code_blocks, data_sections, extract_references, page_facts, page_links, repository_of, sections
 from weftgraph.operators import etl as E
 from weftgraph.operators import retrieval as V
 from weftgraph.operators import traverse as T
 from weftgraph.operators import turns as U
 from weftgraph.operators.entities import canonical_of_members, name_members, similar_names
 from weftgraph.semantics import cosine, euclidean_similarity, full_match, sum0
-from weftgraph.sources.files import data_file_sections, document_paragraphs, image_facts, parse_data, run_sql, sheet_rows, unzip, virtual_files, with_text
+from weftgraph.sources.files import SCOPES, data_file_sections, document_paragraphs, image_facts, parse_data, run_sql, sheet_rows, unzip, virtual_files, with_text
 from weftgraph.streaming.changes import coalesce_changes, run_available, unique_within
 
 
@@ -232,3 +235,36 @@ def test_equal_names_are_deduplicated(spark):
     assert whole == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (6, 7)}
     assert {r["id"]: r["canonical"] for r in canonical_of_members(df).collect()} == {1: 2, 3: 2, 4: 2, 7: 6}
     assert canonical_of_members(df.limit(0)).count() == 0
+
+
+FAMILY = {**dict.fromkeys(("ts", "tsx", "js", "jsx"), "ts"), **dict.fromkeys(("css", "scss"), "css")}
+
+
+def spelled(rows, patterns):
+    """(id, kind, target) by Python's own search, with repeats."""
+    out = Counter()
+    for key, lang, text in rows:
+        for name in (FAMILY.get(lang, lang), "any"):
+            for kind, p in patterns.get(name, {}).items():
+                out.update((key, kind, m) for m in re.findall(p, text or "", re.A))
+    return out
+
+
+def test_all_languages_and_kinds(spark, data_dir):
+    q, read = entry.queries(), lambda name: spark.read.parquet(f"{data_dir}/{name}.parquet")
+    files = {(r["file_uuid"], r["file_lang"] or (re.findall(r"\.(\w+)$", r["source_path"] or "") or [""])[0].lower(), r["file_content"]) for r in read("source_files").collect()}
+    scopes = Counter(tuple(r) for r in q["code_scopes_all"](spark, data_dir).collect())
+    assert scopes == spelled(files, SCOPES) and {lang for i, lang, _ in files if any(i == x for x, *_ in scopes)} == {"go", "py", "ts", "js"}
+    refs = Counter(tuple(r) for r in q["extract_file_references"](spark, data_dir).collect())
+    assert refs == Counter(set(spelled(files, REFERENCE_PATTERNS))) and {k for _, k, _ in refs} > {"from", "import"}
+    docs = [(r["doc_id"], "md", r["text"]) for r in read("documents").collect()]
+    got = {tuple(r) for r in q["extract_document_references"](spark, data_dir).collect()}
+    assert got == set(spelled(docs, REFERENCE_PATTERNS)) and {k for _, k, _ in got} > {"link"}
+
+
+def test_imports_of_all_local_references(spark, tmp_path):
+    spark.createDataFrame([(f"/w/{p}",) for p in ("a/x.ts", "b/y.go", "b/index.tsx", "z.md", "b/c/v.css")], "source_path string").write.parquet(f"{tmp_path}/source_files.parquet")
+    refs = [(1, "./x", True), (2, "../b/y", True), (3, "../b", True), (4, "../../w/./z.md#top", True), (5, "../b/c/../c/v.css?raw", True), (6, "x.ts", True), (7, "x.ts", False), (8, "../none", True), (9, "/w/z.md", True), (10, "#top", True)]
+    spark.createDataFrame([(i, "/w/a/from.ts", s, x) for i, s, x in refs], "ref_id long, source_path string, ref_source string, is_local boolean").write.parquet(f"{tmp_path}/extracted_refs.parquet")
+    got = {r["src"]: r["path"] for r in entry.queries()["resolve_imports_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: "/w/a/x.ts", 2: "/w/b/y.go", 3: "/w/b/index.tsx", 4: "/w/z.md", 5: "/w/b/c/v.css", 6: "/w/a/x.ts", 9: "/w/z.md"}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import etl as E
 from weftgraph.operators import traverse as T
+from weftgraph.operators.orphans import EXTENSIONS, resolve_path
 from weftgraph.queries.registry import Registry, Tables
 from weftgraph.queries.relational import _CH, event_changes, shop
 from weftgraph.tools import list_projects
@@ -178,6 +179,21 @@ def _(t: Tables) -> DataFrame:
     return T.resolve_imports(i, t.source_files.select(F.col("source_path").alias("path")), [".ts", ".js", ".py"])
 
 
+_SPELLINGS = ", ".join(f"({i}, '{x}')" for i, x in enumerate(("", *EXTENSIONS, *(f"/index{e}" for e in EXTENSIONS))))
+
+
+@R.add("resolve_imports_all", rf"""WITH r AS (SELECT DISTINCT ref_id AS src, ref_source AS spec, source_path, regexp_replace(ref_source, '[#?].*$', '', 's') AS bare
+  FROM extracted_refs WHERE is_local OR regexp_matches(ref_source, '^\.\.?/')),
+ b AS (SELECT src, spec, list_reduce(list_prepend('', string_split(CASE WHEN starts_with(bare, '/') THEN bare ELSE regexp_replace(source_path, '[^/]*$', '') || bare END, '/')),
+   lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN x IN ('', '.') THEN acc ELSE acc || '/' || x END) AS base FROM r WHERE trim(bare) <> ''),
+ c AS (SELECT src, spec, o, base || x AS path FROM b, (VALUES {_SPELLINGS}) e(o, x))
+ SELECT src, spec, min_by(path, o) AS path FROM c WHERE path IN (SELECT source_path FROM source_files) GROUP BY 1, 2""")
+def _(t: Tables) -> DataFrame:
+    i = t.extracted_refs.where(F.col("is_local") | F.col("ref_source").rlike(r"^\.\.?/")).select(
+        F.col("ref_id").alias("src"), F.col("ref_source").alias("spec"), resolve_path(F.col("source_path"), F.col("ref_source")).alias("base")).where("base is not null").distinct()
+    return T.resolve_imports(i, t.source_files.select(F.col("source_path").alias("path")), EXTENSIONS)
+
+
 @R.add("preserve_ids", """SELECT n.uuid AS fresh, coalesce(o.old, n.uuid) AS uuid FROM (SELECT uuid, source_path || ':' || CASE WHEN length(node_name) > 0 THEN node_name ELSE '_:' || start_line END AS s FROM nodes WHERE node_label = 'Scope') n
  LEFT JOIN (SELECT source_path || ':' || CASE WHEN length(node_name) > 0 THEN node_name ELSE '_:' || start_line END AS s, min(uuid) AS old FROM nodes WHERE node_label = 'Scope' AND content_version = 1 GROUP BY 1) o ON o.s = n.s""")
 def _(t: Tables) -> DataFrame:

@@ -126,18 +126,39 @@ def _(t: Tables) -> DataFrame:
     return X.extract_references(t.documents, F.lit("md"), "doc_id").where("kind = 'link'")
 
 
+@R.add("extract_document_references")
+def _(t: Tables) -> DataFrame:
+    return X.extract_references(t.documents, F.lit("md"), "doc_id")
+
+
 @R.add("extract_imports", r"""SELECT DISTINCT file_uuid AS id, 'from' AS kind, unnest(regexp_extract_all(file_content, '(?m)^\s*from\s+([\w.]+)\s+import\b', 1)) AS target FROM source_files WHERE file_lang = 'py'""")
 def _(t: Tables) -> DataFrame:
     f = t.source_files.where("file_lang = 'py'").select("file_uuid", "file_lang", "file_content").distinct()
     return X.extract_references(f, F.col("file_lang"), "file_uuid", "file_content").where("kind = 'from'")
 
 
+def files_by_language(t: Tables) -> DataFrame:
+    """Distinct contents with their language, by the extension where the table names none."""
+    lang = F.coalesce("file_lang", F.lower(F.regexp_extract("source_path", r"\.(\w+)$", 1)))
+    return t.source_files.select("file_uuid", lang.alias("lang"), "file_content").distinct()
+
+
+@R.add("extract_file_references")
+def _(t: Tables) -> DataFrame:
+    return X.extract_references(files_by_language(t), F.col("lang"), "file_uuid", "file_content").distinct()
+
+
 @R.add("code_scopes", r"""SELECT file_uuid AS id, 'function' AS kind, unnest(regexp_extract_all(file_content, '(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)', 1)) AS name FROM (SELECT DISTINCT file_uuid, file_content FROM source_files WHERE file_lang = 'go')""")
 def _(t: Tables) -> DataFrame:
     f = t.source_files.where("file_lang = 'go'").select("file_uuid", "file_lang", "file_content").distinct()
     return code_scopes(f, F.col("file_lang"), "file_uuid", "file_content").where("kind = 'function'")
 
 
+@R.add("code_scopes_all")
+def _(t: Tables) -> DataFrame:
+    return code_scopes(files_by_language(t), F.col("lang"), "file_uuid", "file_content")
+
+
 @R.add("parser_dispatch", r"""SELECT p AS parser, count(*) AS n FROM (SELECT CASE WHEN e IN ('ts', 'tsx', 'js', 'jsx', 'py', 'go', 'css', 'scss') THEN 'code' WHEN e = 'md' THEN 'markdown' WHEN e IN ('json', 'yaml', 'env') THEN 'data' ELSE 'generic' END AS p
  FROM (SELECT lower(regexp_extract(source_path, '\.(\w+)$', 1)) AS e FROM source_files)) GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
