@@ -268,3 +268,25 @@ def test_imports_of_all_local_references(spark, tmp_path):
     spark.createDataFrame([(i, "/w/a/from.ts", s, x) for i, s, x in refs], "ref_id long, source_path string, ref_source string, is_local boolean").write.parquet(f"{tmp_path}/extracted_refs.parquet")
     got = {r["src"]: r["path"] for r in entry.queries()["resolve_imports_all"](spark, str(tmp_path)).collect()}
     assert got == {1: "/w/a/x.ts", 2: "/w/b/y.go", 3: "/w/b/index.tsx", 4: "/w/z.md", 5: "/w/b/c/v.css", 6: "/w/a/x.ts", 9: "/w/z.md"}
+
+
+def headings(text):
+    n, fence = 0, False
+    for line in (text or "").replace("\r\n", "\n").split("\n"):
+        if re.match(r"\s*(```|~~~)", line):
+            fence = not fence
+        else:
+            n += not fence and bool(re.match(r"#{1,6}\s+\S", line))
+    return n
+
+
+def test_headings_of_documents_with_fences(spark, data_dir, tmp_path):
+    hand = [(1, "# a\n```py\n# no\n```\n## b"), (2, "~~~\n# no\n~~~"), (3, "# a\n```\n# no, the fence stays open"), (4, "# a"), (5, None), (6, "  ```\n# no\n  ```\n### c\r\n")]
+    spark.createDataFrame(hand, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda d: {r["id"]: r["n"] for r in entry.queries()["document_headings_all"](spark, str(d)).collect()}
+    assert run(tmp_path) == {1: 2, 3: 1, 4: 1, 6: 1}
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = Counter()
+    for key, text in docs:
+        want[key] += headings(text)
+    assert any("```" in (text or "") and headings(text) for _, text in docs) and run(data_dir) == dict(+want)

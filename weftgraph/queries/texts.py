@@ -116,6 +116,11 @@ def _(t: Tables) -> DataFrame:
     return X.sections(d, "doc_id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@R.add("document_headings_all")
+def _(t: Tables) -> DataFrame:
+    return X.sections(t.documents, "doc_id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @R.add("code_blocks", r"""SELECT doc_id AS id, len(regexp_extract_all(text, '(?ms)^```([\w+\-]*)[^\n]*\n(.*?)^```', 1)) AS n FROM documents WHERE len(regexp_extract_all(text, '(?ms)^```([\w+\-]*)[^\n]*\n(.*?)^```', 1)) > 0""")
 def _(t: Tables) -> DataFrame:
     return X.code_blocks(t.documents, "doc_id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
