@@ -58,3 +58,24 @@ def test_renamed_passages(spark):
     df = spark.createDataFrame([(1, same, ""), (2, torn, ""), (3, item, ""), (4, "nothing here " * 9, "")], D)
     got = {(r["doc_id"], r["item_id"]) for r in L.renamed_leaks(df, spark.createDataFrame([(7, item, "")], I)).collect()}
     assert got == {(1, 7)}
+
+
+def test_renamed_passages_on_other_alignments(spark):
+    item = "Suppose that old Narvane writes 877 lines and then Tovpeth postpones 697 of them while the crooked furnace of Narvane annotates whatever was left in the quiet prism today."
+    same = item.replace("Narvane", "Kesbex").replace("Tovpeth", "Ilora").replace("877", "12").replace("697", "99")
+    part = " ".join(same.split()[:20])
+    torn = item.replace("Narvane", "Kesbex", 1)
+    ws = same.split()
+    split = " ".join([*ws[:12], "unheard", *ws[12:]])  # 12 words before the new one make a single window
+    docs = [(1, f"{item} Unheard words. {part}", ""), (2, f"{torn} Unheard words. {part}", ""), (3, split, ""), (4, f"{item} Unheard words. {torn}", ""), (5, f"{same} Unheard words. {same}", "")]
+    got = [(r["doc_id"], r["item_id"], r["n_windows"]) for r in L.renamed_leaks(spark.createDataFrame(docs, D), spark.createDataFrame([(7, item, "")], I)).collect()]
+    n = len(ws)
+    assert sorted(got) == [(1, 7, 9), (2, 7, 9), (3, 7, n - 12 - 11), (5, 7, n - 11)]
+
+
+def test_copies_of_items_that_repeat_their_template(spark):
+    half = "Suppose that old Narvane writes 877 lines and then rests a while beside the quiet river until dawn comes again. "
+    item = half + half.replace("Narvane", "Tovpeth").replace("877", "697")
+    docs = [(1, item, ""), (2, item.replace("697", "12").replace("Tovpeth", "Ilora"), "")]
+    got = {r["doc_id"] for r in L.renamed_leaks(spark.createDataFrame(docs, D), spark.createDataFrame([(7, item + "Narvane and Tovpeth wait.", "")], I)).collect()}
+    assert got == {2}

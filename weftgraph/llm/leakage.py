@@ -179,25 +179,29 @@ def verbatim_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 def renamed_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_windows, n_slots``: passages that follow an item's template with other values.
 
-    The windows of one pair are read on their most frequent alignment (document place minus item place). They count if
-    the slots map one to one in both directions over all windows, at least one value differs, each window keeps ``MIN_FIXED``
-    ordinary words, and there are ``MIN_WINDOWS`` of them.
+    The windows of one pair are read on each of their alignments (document place minus item place). An alignment counts
+    if its slots map one to one in both directions over all its windows, at least one value differs, each window keeps
+    ``MIN_FIXED`` ordinary words, and there are ``MIN_WINDOWS`` of them. A window of the document that stands verbatim
+    elsewhere in the item differs in nothing: items that repeat their own template would else match their copies. Of
+    several alignments that count the one with the most windows, then the most slots, gives the figures.
     """
     scratch = Scratch(documents.sparkSession, "leakage")
     m = template_matches(documents, items).where(F.size("islots") <= WINDOW - MIN_FIXED)
     m = scratch.write(m.withColumn("shift", F.col("dpos") - F.col("ipos")), "matches")
-    lanes = m.groupBy("doc_id", "item_id", "shift").agg(F.count(F.lit(1)).alias("n_windows"), F.max(~F.col("verbatim")).alias("changed"))
-    best = lanes.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", -F.col("shift"), "changed")).alias("b"))
-    best = best.select("doc_id", "item_id", F.col("b.n_windows").alias("n_windows"), (-F.col("b.col2")).alias("shift"), F.col("b.changed").alias("changed"))
+    copied = m.where("verbatim").select("doc_id", "item_id", "dpos", F.lit(True).alias("copied")).distinct()
+    other = ~F.col("verbatim") & F.col("copied").isNull()
+    lanes = m.join(copied, ["doc_id", "item_id", "dpos"], "left").groupBy("doc_id", "item_id", "shift").agg(F.count(F.lit(1)).alias("n_windows"), F.max(other).alias("changed"))
     slots = (
-        m.join(best.where(F.col("changed") & (F.col("n_windows") >= MIN_WINDOWS)), ["doc_id", "item_id", "shift"])
-        .select("doc_id", "item_id", "n_windows", F.explode(F.arrays_zip("dslots", "islots")).alias("s"))
-        .select("doc_id", "item_id", "n_windows", F.col("s.dslots").alias("a"), F.col("s.islots").alias("b"))
+        m.join(lanes.where(F.col("changed") & (F.col("n_windows") >= MIN_WINDOWS)), ["doc_id", "item_id", "shift"])
+        .select("doc_id", "item_id", "shift", "n_windows", F.explode(F.arrays_zip("dslots", "islots")).alias("s"))
+        .select("doc_id", "item_id", "shift", "n_windows", F.col("s.dslots").alias("a"), F.col("s.islots").alias("b"))
         .distinct()
     )
     return (
-        slots.groupBy("doc_id", "item_id", "n_windows")
+        slots.groupBy("doc_id", "item_id", "shift", "n_windows")
         .agg(F.count(F.lit(1)).alias("n_slots"), F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"))
         .where("n_slots = na and n_slots = nb")
-        .select("doc_id", "item_id", "n_windows", "n_slots")
+        .groupBy("doc_id", "item_id")
+        .agg(F.max(F.struct("n_windows", "n_slots")).alias("b"))
+        .select("doc_id", "item_id", "b.n_windows", "b.n_slots")
     )
