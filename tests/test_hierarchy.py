@@ -5,7 +5,7 @@ import datetime as dt
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from weftgraph.operators.hierarchy import descendants, full_hierarchy, live_nodes, misplaced_nodes, resolve_hierarchy
+from weftgraph.operators.hierarchy import all_descendants, descendants, full_hierarchy, live_nodes, misplaced_nodes, resolve_hierarchy
 from weftgraph.session import Scratch
 
 SCHEMA = "uuid string, parent_uuid string, node_name string, node_depth int, updated_at timestamp, recorded_at timestamp, deleted_at timestamp, pid string, root string"
@@ -89,6 +89,15 @@ def test_paths_and_descendants(spark):
     assert sorted(r["distance"] for r in pairs.collect()) == [1, 1, 2]
 
 
+def test_chains_and_pairs_of_live_nodes(spark):
+    df = nodes(spark, [row(1), row(2, 1), row(3, 2), row(4, 4), row(5, 4), row(6, 1), row(6, 1, day=1, deleted=True), row(7, 6), row(8, 1)])
+    chains = {r["uuid"]: r["ancestors"] for r in full_hierarchy(df).collect()}
+    assert chains == {uid(1): [], uid(2): [uid(1)], uid(3): [uid(1), uid(2)], uid(4): None, uid(5): None, uid(7): [], uid(8): [uid(1)]}
+    pairs = sorted(tuple(r) for r in all_descendants(df).collect())
+    assert pairs == [(uid(1), uid(2), 1), (uid(1), uid(3), 2), (uid(1), uid(8), 1), (uid(2), uid(3), 1)]
+    assert all_descendants(df.limit(0)).count() == 0
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 14), st.one_of(st.none(), st.integers(0, 16)), st.one_of(st.none(), st.integers(0, 4)), st.integers(0, 2), st.booleans()), max_size=40))
 def test_against_walking(spark, items):

@@ -137,8 +137,16 @@ def misplaced_nodes(nodes: DataFrame) -> DataFrame:
     )
 
 
+def all_descendants(nodes: DataFrame) -> DataFrame:
+    """``ancestor, descendant, distance``: every live node with each live node below it; nodes on or below a cycle have none."""
+    scratch = Scratch(nodes.sparkSession, "hierarchy")
+    pairs = descendants(resolve_hierarchy(live_nodes(nodes), scratch, ancestors=True))
+    return pairs.select(unpack_uuid(F.col("ancestor")).alias("ancestor"), unpack_uuid(F.col("descendant")).alias("descendant"), "distance")
+
+
 def full_hierarchy(nodes: DataFrame) -> DataFrame:
-    """Every live node with path of names, real depth, root, parent chain and number of descendants."""
+    """Every live node with path of names, real depth, root, parent chain (``ancestors`` from the root to the parent,
+    null on or below a cycle) and number of descendants."""
     scratch = Scratch(nodes.sparkSession, "hierarchy")
     r = scratch.write(resolve_hierarchy(live_nodes(nodes, names=True), scratch, ancestors=True, names=True), "whole")
     # the exploded pairs collapse in a map-side count before they are shuffled
@@ -148,5 +156,6 @@ def full_hierarchy(nodes: DataFrame) -> DataFrame:
         F.coalesce(unpack_uuid(F.col("root")), F.lit("")).alias("root_uuid"),
         "real_depth",
         "path",
+        F.transform("ancestors", unpack_uuid).alias("ancestors"),
         F.coalesce("n_descendants", F.lit(0)).cast("bigint").alias("n_descendants"),
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.operators.hierarchy import full_hierarchy, misplaced_nodes
+from weftgraph.operators.hierarchy import all_descendants, full_hierarchy, misplaced_nodes
 from weftgraph.operators.incremental import nodes_to_process
 from weftgraph.operators.orphans import EXTENSIONS, FILE_LABELS, INDEX_FILES, orphan_references, orphan_report
 from weftgraph.session import table
@@ -17,9 +17,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    # its SQL has no chain; p3_whole keeps it
+    return full_hierarchy(table(spark, d, "nodes")).drop("ancestors")
+
+
+def p3_whole(spark: SparkSession, d: str) -> DataFrame:
     return full_hierarchy(table(spark, d, "nodes"))
 
 
+def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return all_descendants(table(spark, d, "nodes"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nodes_to_process(table(spark, d, "nodes"), table(spark, d, "ingest_runs"))
 
@@ -39,6 +48,8 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_hierarchy": p3_hierarchy,
+    "p3_whole": p3_whole,
+    "p3_descendants": p3_descendants,
     "p4_found": p4_found,
     "p7_found": p7_found,
     "p7_report": p7_report,
@@ -81,6 +92,14 @@ FROM live l LEFT JOIN walk w ON w.id = l.id
 LEFT JOIN (SELECT anc, CAST(count(*) - 1 AS BIGINT) AS n FROM pairs GROUP BY anc) n ON n.anc = l.id
 """
 
+_P3_PAIRS = f"""{_WALK},
+pairs AS (
+  SELECT w.id AS anc, w.id AS node, CAST(0 AS BIGINT) AS d FROM walk w
+  UNION ALL
+  SELECT p.anc, c.id, p.d + 1 FROM pairs p JOIN live c ON c.pid = p.node)
+SELECT anc AS ancestor, node AS descendant, d AS distance FROM pairs WHERE d > 0
+"""
+
 _P4 = f"""
 WITH {_LIVE},
 done AS (
@@ -138,6 +157,7 @@ orphans AS (
 SQL = {
     "p3_found": _P3,
     "p3_hierarchy": _P3_ALL,
+    "p3_descendants": _P3_PAIRS,
     "p4_found": _P4,
     "p7_found": _P7 + "SELECT * FROM orphans",
     "p7_report": _P7 + """SELECT ref_table, ref_month, orphan_kind, count(*) AS n_orphans FROM orphans
