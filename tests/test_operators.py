@@ -181,10 +181,28 @@ def test_data_formats(spark):
     assert parse_data("a: 1\nb:\n  c: x\n  d: true\ne:\n  - 1\n  - two\n", "yaml") == {"a": 1, "b": {"c": "x", "d": True}, "e": [1, "two"]}
     assert parse_data("A=1\nexport B='x'\n", "env") == {"A": "1", "B": "x"} and parse_data("<r><a>1</a><a>2</a></r>", "xml") == {"a": ["1", "2"]}
     assert parse_data("[t]\nx = 1", "toml") == {"t": {"x": 1}} and parse_data("{", "json") is None
-    assert list(data_sections({"a": [1, 2, 3], "b": {"c": 1}})) == [("", "object", 2), ("a", "array", 3)]
-    df = with_text(virtual_files(spark, {"x.json": '{"a": 1, "b": 2}', "y.json": "broken"}))
-    assert [tuple(r) for r in data_file_sections(df).collect()] == [("x.json", "", "object", 2)]
-
+    assert parse_data('// head\n{/* x */ "a": "http://h"}', "json") == {"a": "http://h"}
+    df = with_text(virtual_files(spark, {"x.json": '{"only": {"x": 1, "y": 2}}', "y.json": "broken", "z.xml": "<r><p><a>1</a><b>2</b></p></r>", "notes.md": "{}"}))
+    got = {(r["path"], r["section"], r["kind"], r["size"]) for r in data_file_sections(df).collect()}
+    assert got == {("x.json", "only", "object", 2), ("z.xml", "p", "object", 2)}
+
+
+def test_data_outline():
+    deep = {"name": "x", "dependencies": {"zod": "^3.1", "left": "1"}, "web": {"volumes": ["./src/a.ts", "../img/x.png", {"u": "https://h/x", "d": "lib/**/x"}], "one": ["/etc/x.conf"]}, "n": {"a": 1}}
+    found, refs = data_sections(deep)
+    assert {(s[0], s[1], s[2], s[3], s[4], s[5], s[6], s[7]) for s in found} == {
+        ("dependencies", "dependencies", "object", 2, 0, None, 2, 5), ("web", "web", "object", 2, 0, None, 6, 18),
+        ("web.volumes", "volumes", "array", 3, 1, "web", 7, 14), ("web.volumes.[2]", "2", "object", 2, 2, "web.volumes", 10, 13),
+    }
+    assert {r[:4] for r in refs} == {
+        ("dependencies.zod", "package", "^3.1", 3), ("dependencies.left", "package", "1", 4), ("web.volumes.[0]", "code", "./src/a.ts", 8), ("web.volumes.[1]", "image", "../img/x.png", 9),
+        ("web.volumes.[2].u", "url", "https://h/x", 11), ("web.one[0]", "config", "/etc/x.conf", 15),
+    }
+    assert data_sections([{"a": 1, "b": 2}])[0][0][:2] == ("[0]", "0") and data_sections(3) == ([], []) and data_sections({"a": "./x/"})[1][0][1] == "directory"
+    chain = {}
+    for _ in range(14):
+        chain = {"k": chain, "l": 1}
+    assert max(s[4] for s in data_sections(chain)[0]) == 10
 
 def test_archives_sheets_documents_images(spark):
     z = io.BytesIO()

@@ -12,6 +12,9 @@ CASES = [
     ("", "?ame", False, False), ("", "[abc]", False, False), ("", "*", False, False), ("file.ts.backup", "*.ts", False, False),
     ("test", "te.t", False, False), ("test", "te+t", False, False), ("test", "t(es)t", False, False), ("a", "[abc]", False, True),
     ("d", "[!abc]", False, True), ("a", "[^abc]", False, False), ("7", "[[:digit:]]", False, True), ("x", "[[:digit:]]", False, False),
+    ("é", "[[:alpha:]]", False, True), ("Ω", "[[:lower:]]", False, False), ("Ω", "[[:upper:]]", False, True), ("٣", "[[:digit:]]", False, True), ("é", "[[:ascii:]]", False, False),
+    ("z", "[[:ascii:]]", False, True), ("_", "[[:word:]]", False, True), ("\u00a0", "[[:blank:]]", False, True), ("a", "[[:print:]]", False, True), ("\x01", "[[:print:]]", False, False),
+    ("dame", "[g-z]ame", False, False), ("name", "[^n]ame", False, False), ("game", "[g-z]ame", False, True), ("z", "[z-a]", False, True), ("m", "[z-a]", False, False),
     ("a/../b.ts", "a/**/b.ts", True, False), ("line\nbreak", "*", False, True),
 ]
 

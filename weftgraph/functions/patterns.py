@@ -15,8 +15,9 @@ from weftgraph.semantics import full_match
 
 # Names of character classes inside brackets and what they stand for.
 POSIX = {
-    "alpha": "A-Za-z", "digit": "0-9", "alnum": "A-Za-z0-9", "upper": "A-Z", "lower": "a-z", "space": r"\s", "word": r"\w",
-    "punct": r"\p{Punct}", "xdigit": "A-Fa-f0-9", "blank": r" \t", "cntrl": r"\p{Cntrl}", "graph": r"\p{Graph}", "print": r"\p{Print}",
+    "alnum": r"\p{L}\p{Nl}\p{Nd}", "alpha": r"\p{L}\p{Nl}", "ascii": r"\x00-\x7f", "blank": r"\p{Zs}\t", "cntrl": r"\p{Cc}", "digit": r"\p{Nd}",
+    "lower": r"\p{Ll}", "print": r"\P{C}", "punct": r"\p{P}", "space": r"\p{Z}\t\r\n\x0B\f", "upper": r"\p{Lu}", "word": r"\p{L}\p{Nl}\p{Nd}\p{Pc}",
+    "xdigit": "A-Fa-f0-9",
 }
 
 
@@ -102,16 +103,25 @@ def _bracket(glob: str, at: int) -> tuple[str, int] | None:
     body, first = "", at
     while at < len(glob):
         m = re.match(r"\[:(\w+):\]", glob[at:])
-        if m:
-            body, at = body + POSIX.get(m[1], ""), at + m.end()
+        if m and m[1] in POSIX:
+            body, at = body + POSIX[m[1]], at + m.end()
+            continue
+        if glob[at + 1 : at + 2] == "-" and glob[at + 2 : at + 3] not in ("", "]"):
+            lo, hi = glob[at], glob[at + 2]
+            # a range that runs backwards means its first character
+            body, at = body + (f"{_in_class(lo)}-{_in_class(hi)}" if lo < hi else _in_class(lo)), at + 3
             continue
         if glob[at] == "]" and at > first:
             return f"[{'^' if negated else ''}{body}]", at
-        body += "\\" + glob[at] if glob[at] in "\\[]&^" else glob[at]
+        body += _in_class(glob[at])
         at += 1
     return None
 
 
+def _in_class(ch: str) -> str:
+    return "\\" + ch if ch in "\\[]&^-" else ch
+
+
 def valid_regex(pattern: str) -> bool:
     try:
         re.compile(pattern)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,29 +24,24 @@ def chunk_text(text: str, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS
     """
     if not text:
         return []
-    if len(text) <= max_chars and text.count("\n") + 1 <= max_lines:
-        return [(text, 0, 0, len(text), 1, text.count("\n") + 1)]
-    lines = [piece for line in text.split("\n") for piece in ([line[i : i + max_chars] for i in range(0, len(line), max_chars)] or [""])]
-    starts, at = [], 0
-    for line in lines:
-        starts.append(at)
-        at += len(line) + 1
+    piece = re.compile(rf"(?m)^$|[^\n]{{1,{max_chars}}}")
+    lines = [m[0] for m in piece.finditer(text)]
+    # places[k]: where line k starts; the text's last line has no line break to pay for
+    places = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lines])))
+    paid = places[1:].copy()
+    paid[-1] -= 1
+    first = np.arange(len(lines))
+    ends = np.clip(np.searchsorted(paid, places[:-1] + max_chars, side="right"), first + 1, np.minimum(first + max_lines, len(lines)))
     out: list[tuple] = []
-    i, n = 0, len(lines)
-    while i < n:
-        j, size = i, 0
-        while j < n and j - i < max_lines:
-            more = len(lines[j]) + (1 if j < n - 1 else 0)
-            if j > i and size + more > max_chars:
-                break
-            size, j = size + more, j + 1
-        body = "\n".join(lines[i:j])
-        if len(body) >= min_chunk or not out:
-            out.append((body, len(out), starts[i], starts[i] + len(body), i + 1, j))
-        if j >= n:
-            break
-        i = max(i + 1, j - overlap)
-    return out
+    at = 0
+    while True:
+        end = int(ends[at])
+        body = "\n".join(lines[at:end])
+        if not out or len(body) >= min_chunk:
+            out.append((body, len(out), int(places[at]), int(places[at]) + len(body), at + 1, end))
+        if end == len(lines):
+            return out
+        at = max(at + 1, end - overlap)
 
 
 def chunks(rows: DataFrame, id_col: str, text_col: str, **limits: int) -> DataFrame:
@@ -203,13 +201,14 @@ def extract_references(rows: DataFrame, lang: Column, id_col: str = "id", text_c
     return rows.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(found)).alias("r")).select("id", "r.kind", "r.target")
 
 
-def page_facts(rows: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``url, title, description, text``: description from its meta tag, og tag or the first 200 characters."""
+def page_facts(rows: DataFrame, url_col: str = "url", html_col: str = "html", max_text: int | None = None) -> DataFrame:
+    """``url, title, description, text``: description from its meta tag, og tag or the first 200 characters; the whole
+    text, or its first ``max_text`` characters."""
     text = collapse_blanks(F.regexp_replace(F.regexp_replace(F.col(html_col), r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " "))
     meta = lambda a, n: F.nullif(F.regexp_extract(html_col, rf"(?is)<meta[^>]*{a}=[\"']{n}[\"'][^>]*content=[\"']([^\"']*)", 1), F.lit(""))
     return rows.select(
         normalize_url(F.col(url_col)).alias("url"), collapse_blanks(F.regexp_extract(html_col, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
-        F.coalesce(meta("name", "description"), meta("property", "og:description"), F.substring(text, 1, 200)).alias("description"), F.substring(text, 1, 50_000).alias("text"),
+        F.coalesce(meta("name", "description"), meta("property", "og:description"), F.substring(text, 1, 200)).alias("description"), (text if max_text is None else F.substring(text, 1, max_text)).alias("text"),
     )
 
 
@@ -223,22 +222,84 @@ def page_links(rows: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return e.where(F.col("src") != F.col("dst")).join(pages, "dst", "left_semi").select("src", "dst").distinct()
 
 
-def data_sections(value: object, depth: int = 10) -> Iterator[tuple[str, str, int]]:
-    """(path, kind, size) of objects with two keys or more and arrays with three items or more, outermost first."""
-
-    def walk(v: object, path: str, left: int) -> Iterator[tuple[str, str, int]]:
-        if left < 0:
-            return
-        if isinstance(v, dict) and len(v) >= 2:
-            yield path, "object", len(v)
-            for k, x in v.items():
-                yield from walk(x, f"{path}.{k}" if path else str(k), left - 1)
-        elif isinstance(v, list) and len(v) >= 3:
-            yield path, "array", len(v)
-            for i, x in enumerate(v):
-                yield from walk(x, f"{path}[{i}]", left - 1)
-
-    yield from walk(value, "", depth)
+# Extensions by which a value of a data file is known as a reference to code, an image or configuration.
+VALUE_KINDS = {
+    "code": ".ts .tsx .js .jsx .py .java .go .rs .c .cpp .h .hpp .cs .rb .php .swift .kt".split(),
+    "image": ".png .jpg .jpeg .gif .webp .svg .ico .bmp .tiff".split(),
+    "config": ".json .yaml .yml .xml .toml .ini .conf .config".split(),
+}
+PACKAGE_KEYS = ("dependencies", "devDependencies", "peerDependencies")
+SECTION_SCHEMA = "section string, key string, kind string, size long, depth long, parent string, start_line long, end_line long, content string"
+REFERENCE_SCHEMA = "place string, kind string, target string, line long, is_relative boolean"
+
+
+def value_reference(value: str, place: str) -> str | None:
+    """What a text value of a data file refers to: url, package, directory, code, image, config or file; None for none."""
+    v = value.strip()
+    if re.match(r"(?:https?|ftp)://", v):
+        return "url"
+    local = v.startswith(("./", "../", "/"))
+    if v and any(k in place for k in PACKAGE_KEYS) and "/" not in v and not v.startswith("."):
+        return "package"
+    if not local:
+        return None
+    if v.endswith("/") or "**/" in v or "/*" in v:
+        return "directory"
+    ext = re.search(r"\.[a-z0-9]+$", re.split(r"[?#]", v)[0].replace("*", "").lower())
+    return next((k for k, known in VALUE_KINDS.items() if ext and ext[0] in known), "file")
+
+
+def _entries(box: object) -> list[tuple[str, object]]:
+    return list(box.items()) if isinstance(box, dict) else [(f"[{i}]", x) for i, x in enumerate(box)]
+
+
+def _printed_lines(v: object) -> int:
+    """Lines of a value printed with one entry a line."""
+    if not isinstance(v, (dict, list)) or not v:
+        return 1
+    return 2 + sum(_printed_lines(x) for _, x in _entries(v))
+
+
+def _texts(v: object, place: str) -> Iterator[tuple[str, str]]:
+    if isinstance(v, str):
+        yield place, v
+    elif isinstance(v, dict):
+        for k, x in v.items():
+            yield from _texts(x, f"{place}.{k}")
+    elif isinstance(v, list):
+        for i, x in enumerate(v):
+            yield from _texts(x, f"{place}[{i}]")
+
+
+def data_sections(value: object, least_keys: int = 2, least_items: int = 3, max_depth: int = 10) -> tuple[list[tuple], list[tuple]]:
+    """Sections and references of a parsed data file, in the columns of ``SECTION_SCHEMA`` and ``REFERENCE_SCHEMA``.
+
+    A section is an entry with so many keys or items; the root itself is none. Sections nest down to ``max_depth``;
+    lines count as if each section were printed with one entry a line, and any other entry took one line. Text values
+    in sections' entries and inside smaller values are looked at for references.
+    """
+    sections_, references = [], []
+    boxes = [(None, value, 0, 1)]
+    while boxes:
+        parent, box, depth, line = boxes.pop()
+        if depth > max_depth or not isinstance(box, (dict, list)):
+            continue
+        for name, v in _entries(box):
+            place = name if parent is None else f"{parent}.{name}"
+            if isinstance(v, (dict, list)) and len(v) >= (least_keys if isinstance(v, dict) else least_items):
+                n = _printed_lines(v)
+                key = name.removeprefix("[").removesuffix("]")
+                kind = "object" if isinstance(v, dict) else "array"
+                sections_.append((place, key, kind, len(v), depth, parent, line, line + n - 1, json.dumps(v, ensure_ascii=False, indent=2, default=str)))
+                boxes.append((place, v, depth + 1, line + 1))
+                line += n
+                continue
+            for p, t in _texts(v, place):
+                kind = value_reference(t, p)
+                if kind:
+                    references.append((p, kind, t, line, t.startswith(("./", "../"))))
+            line += 1
+    return sections_, references
 
 
 # Words by which the heuristic classifier knows a domain.

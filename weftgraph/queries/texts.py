@@ -13,7 +13,7 @@ from weftgraph.operators.etl import line_diff
 from weftgraph.plans.providers import EchoGenerator, HashingEmbedder, embed_column, generate
 from weftgraph.queries.registry import Registry, Tables
 from weftgraph.session import shared_dir
-from weftgraph.sources.files import code_scopes, data_file_sections, globbed, parser_name
+from weftgraph.sources.files import code_scopes, data_file_references, data_file_sections, globbed, parser_name
 from weftgraph.streaming import changes as S
 
 R = Registry()
@@ -175,9 +175,29 @@ def _(t: Tables) -> DataFrame:
     return globbed(t.source_files, ["*.ts"], path_col="source_path").select("source_path")
 
 
+def path_texts(t: Tables) -> DataFrame:
+    return t.source_files.select(F.col("source_path").alias("path"), F.col("file_content").alias("text")).distinct()
+
+
 @R.add("data_sections")
 def _(t: Tables) -> DataFrame:
-    return data_file_sections(t.source_files.where("file_lang in ('json', 'yaml', 'env')").select(F.col("source_path").alias("path"), F.col("file_content").alias("text")))
+    return data_file_sections(path_texts(t)).drop("content")
+
+
+@R.add("data_references")
+def _(t: Tables) -> DataFrame:
+    return data_file_references(path_texts(t))
+
+
+@R.add("json_sections", r"""WITH RECURSIVE f AS (SELECT DISTINCT source_path AS path, CAST(file_content AS JSON) AS j FROM source_files WHERE suffix(lower(source_path), '.json') AND json_valid(file_content)),
+ w AS (SELECT path, CAST(NULL AS VARCHAR) AS parent, j AS box, 0 AS depth, '' AS section FROM f
+  UNION ALL SELECT w.path, w.section, c.v, w.depth + 1, CASE WHEN w.section = '' THEN c.k ELSE w.section || '.' || c.k END
+  FROM w, LATERAL (SELECT CASE WHEN json_type(w.box) = 'ARRAY' THEN '[' || e.key || ']' ELSE e.key END AS k, max_by(e.value, e.id) AS v FROM json_each(w.box) e GROUP BY 1) c
+  WHERE json_type(w.box) IN ('OBJECT', 'ARRAY') AND w.depth <= 10 AND (json_type(c.v) = 'OBJECT' AND len(list_distinct(json_keys(c.v))) >= 2 OR json_type(c.v) = 'ARRAY' AND json_array_length(c.v) >= 3))
+ SELECT path, section, lower(json_type(box)) AS kind, CAST(CASE json_type(box) WHEN 'OBJECT' THEN len(list_distinct(json_keys(box))) ELSE json_array_length(box) END AS BIGINT) AS size,
+  CAST(depth - 1 AS BIGINT) AS depth, nullif(parent, '') AS parent FROM w WHERE depth > 0""")
+def _(t: Tables) -> DataFrame:
+    return data_file_sections(path_texts(t).where(F.lower("path").endswith(".json"))).select("path", "section", "kind", "size", "depth", "parent")
 
 
 _DM = ", ".join(f"('{d}', {len(ws)}, [{', '.join(repr(w) for w in ws)}])" for d, ws in X.DOMAINS.items())

@@ -11,10 +11,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
+_LIVE: list[Scratch] = []
 
 
 def build_session(app: str = "weftgraph", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,10 +39,16 @@ def build_session(app: str = "weftgraph", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests, one machine)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where a session on one machine names none (tests).
+
+    A session on several machines must name it: a folder of one machine is lost with it and not seen by the others.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="weftgraph-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], True)
@@ -55,14 +64,17 @@ class Scratch:
     """Written intermediate tables of one operator call.
 
     ``write`` stores a DataFrame and returns it read back; ``drop`` removes a superseded table. What a lazy result
-    still reads stays until the Python driver exits.
+    still reads stays until the ``scratch_scope`` around the call ends, or else until the Python driver exits.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/weftgraph/{label}-{uuid.uuid4().hex}"
         self._n = 0
-        atexit.register(self._forget)
+        if not _LIVE:  # after the gateway's own exit handler was registered, so the JVM still runs when this one is called
+            atexit.unregister(_forget_all)
+            atexit.register(_forget_all)
+        _LIVE.append(self)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
@@ -88,3 +100,20 @@ class Scratch:
             self._delete(self.root)
         except Exception:  # the JVM may be gone already; a local folder can still be removed
             shutil.rmtree(self.root.removeprefix("file://"), ignore_errors=True)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Removes at its end the scratch tables that operators wrote inside; their results must have been used by then."""
+    began = len(_LIVE)
+    try:
+        yield
+    finally:
+        for s in _LIVE[began:]:
+            s._forget()  # noqa: SLF001
+        del _LIVE[began:]
+
+
+def _forget_all() -> None:
+    for s in _LIVE:
+        s._forget()  # noqa: SLF001

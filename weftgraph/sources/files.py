@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.ids import sha256_hex
 from weftgraph.functions.patterns import glob_path
-from weftgraph.functions.text import data_sections
+from weftgraph.functions.text import REFERENCE_SCHEMA, SECTION_SCHEMA, data_sections
 
 # What a scan leaves out unless told otherwise.
 DEFAULT_EXCLUDES = ("**/node_modules/**", "**/dist/**", "**/.git/**")
@@ -91,11 +91,23 @@ def unzip(archives: DataFrame, prefix: bool = True) -> DataFrame:
     return archives.select("path", "content").mapInPandas(members, "path string, size long, content binary").withColumn("modified_at", F.lit(None).cast("timestamp"))
 
 
+def data_format(path: str | None) -> str | None:
+    """json, yaml, xml, toml or env by a path's extension; anything with ``.env`` in its path is env."""
+    low = (path or "").lower()
+    ext = low.rsplit(".", 1)[-1]
+    if ext in ("json", "xml", "toml", "env"):
+        return ext
+    return "yaml" if ext in ("yaml", "yml") else "env" if ".env" in low else None
+
+
 def parse_data(text: str, ext: str) -> object | None:
-    """JSON, XML, TOML, ENV, and the block subset of YAML, as Python values; None if it cannot be read."""
+    """JSON (comments allowed), XML, TOML, ENV, and the block subset of YAML, as Python values; None if it cannot be read."""
     try:
         if ext == "json":
-            return json.loads(text)
+            try:
+                return json.loads(text)
+            except ValueError:  # comments of blocks, and of whole lines, which cannot stand inside an address
+                return json.loads(re.sub(r"(?m)^\s*//.*$", "", re.sub(r"(?s)/\*.*?\*/", "", text)))
         if ext == "toml":
             import tomllib
 
@@ -168,18 +180,32 @@ def _yaml(text: str) -> object:
     return out
 
 
-def data_file_sections(files: DataFrame) -> DataFrame:
-    """``path, section, kind, size`` of data files (``path, text``)."""
+def _data_files(files: DataFrame) -> DataFrame:
+    return files.select("path", "text").where(F.lower("path").rlike(r"\.(json|ya?ml|xml|toml|env)$|\.env"))
+
+
+def _outline(which: int, columns: str) -> Callable:
+    names = ["path", *(c.split()[0] for c in columns.split(", "))]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for path, text in zip(b["path"], b["text"]):
-                v = parse_data(text or "", (path or "").rsplit(".", 1)[-1].lower())
-                out += [(path, *s) for s in data_sections(v)] if v is not None else []
-            yield pd.DataFrame(out, columns=["path", "section", "kind", "size"])
+                v = parse_data(text or "", data_format(path) or "")
+                out += [(path, *r) for r in data_sections(v)[which]] if v is not None else []
+            yield pd.DataFrame(out, columns=names)
+
+    return parse
+
+
+def data_file_sections(files: DataFrame) -> DataFrame:
+    """``path`` and ``SECTION_SCHEMA`` of data files (``path, text``); what cannot be read gives no row."""
+    return _data_files(files).mapInPandas(_outline(0, SECTION_SCHEMA), f"path string, {SECTION_SCHEMA}")
+
 
-    return files.select("path", "text").mapInPandas(parse, "path string, section string, kind string, size long")
+def data_file_references(files: DataFrame) -> DataFrame:
+    """``path`` and ``REFERENCE_SCHEMA`` of data files (``path, text``): addresses, packages and paths among their values."""
+    return _data_files(files).mapInPandas(_outline(1, REFERENCE_SCHEMA), f"path string, {REFERENCE_SCHEMA}")
 
 
 def sheet_rows(files: DataFrame) -> DataFrame:
