@@ -11,7 +11,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,11 +76,11 @@ class Scratch:
             atexit.register(_forget_all)
         _LIVE.append(self)
 
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def write(self, df: DataFrame, name: str = "t", partition_by: Sequence[str] = ()) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         # zstd: half the bytes of snappy on ids and digests, and these files count as working disk
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # noqa: SLF001
         return out
