@@ -4,6 +4,9 @@ import random
 import re
 import unicodedata
 
+import numpy as np
+import pytest
+
 from weftgraph.llm import leakage as L
 
 D, I = "doc_id long, text string, item_id string", "item_id long, item_text string, text string"
@@ -43,8 +46,12 @@ def test_against_brute_force(spark, monkeypatch):
     docs.append(docs[-1])
     want = brute(docs, items)
     assert len(want) > 5 and run(spark, docs, items) == want
-    monkeypatch.setattr(L, "BLOCK_ITEMS", 3)
+    # a filter that is nearly full lets almost everything through to the join, which decides
+    monkeypatch.setattr(L, "FILTER_BITS", (64, 64))
     assert run(spark, docs, items) == want
+    monkeypatch.setattr(L, "VOCABULARY_CHARS", 10)
+    with pytest.raises(ValueError):
+        run(spark, docs, items)
 
 
 def test_empty(spark):
@@ -79,3 +86,21 @@ def test_copies_of_items_that_repeat_their_template(spark):
     docs = [(1, item, ""), (2, item.replace("697", "12").replace("Tovpeth", "Ilora"), "")]
     got = {r["doc_id"] for r in L.renamed_leaks(spark.createDataFrame(docs, D), spark.createDataFrame([(7, item + "Narvane and Tovpeth wait.", "")], I)).collect()}
     assert got == {2}
+
+
+def test_names_come_from_all_items(spark):
+    # alone, the first item takes Harbor for a name; the second one's spelling makes it a word
+    a = "We were told that old Harbor writes every line twice and then rests beside the quiet river until the dawn comes again."
+    b = "the harbor is a word like any other word and stands in this second item without a capital letter at all, as it should."
+    doc = a.replace("Harbor", "Vessel")
+    docs = spark.createDataFrame([(1, doc, "")], D)
+    got = lambda rows: [tuple(r)[:2] for r in L.renamed_leaks(docs, spark.createDataFrame(rows, I)).collect()]
+    assert got([(7, a, "")]) == [(1, 7)] and got([(7, a, ""), (8, b, "")]) == []
+
+
+def test_the_filter_holds_every_window(spark):
+    h = np.array([1, -5, 2**62 + 77, -(2**63), 123456789], dtype=np.int64)
+    keep = L.Filter.of(spark.createDataFrame([(int(x),) for x in h], "template long"), len(h))
+    assert keep.may_hold(h.view(np.uint64)).all()
+    other = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 10_000).view(np.uint64)
+    assert keep.may_hold(other).mean() < 0.01

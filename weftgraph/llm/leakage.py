@@ -1,8 +1,9 @@
 """Evaluation texts in training text: template windows, hash join, slot check.
 
-Numbers and names become typed placeholders, so a window of an item and a re-parameterised copy of it have one
-template. Template windows of the documents are joined by hash with those of the items; equal slots make a verbatim
-leak, a one-to-one renaming of slots a re-parameterised one.
+Numbers, names and units become typed placeholders, so a window of an item and a re-parameterised copy of it have one
+template. The windows of the items are a table; those of the documents that may be in it, by a filter of fixed size, are
+joined with it by template. Then the slots decide: equal slots make a verbatim leak, a one-to-one renaming of slots a
+re-parameterised one.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,8 +21,11 @@ from pyspark.sql import functions as F
 from weftgraph.session import Scratch
 
 WINDOW = 12
-#: Items per block: what is broadcast (their vocabulary and window hashes) is at most this many items' worth.
-BLOCK_ITEMS = 20_000
+#: Bits of the filter of item windows that goes to every task: 16 a window, at most 8 MB. A fuller filter lets more
+#: windows through to the join, which drops them.
+FILTER_BITS = (1 << 16, 1 << 26)
+#: Most characters of the items' distinct words, which go to every task. More are refused, not cut.
+VOCABULARY_CHARS = 64_000_000
 #: A template window with fewer ordinary words says too little about an item to count as a re-parameterised leak.
 MIN_FIXED = 6
 
@@ -50,21 +55,36 @@ def _cased(text: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def vocabulary(items: list[str]) -> tuple[dict[str, int], frozenset[str]]:
-    """Codes of the ordinary words of the items, and their names: words with a capital inside a sentence, never without.
+def word_facts(items: DataFrame) -> DataFrame:
+    """``word, is_name`` of all items: a name is a word with a capital inside a sentence, and never without one.
 
-    Both depend on the items only, so a document's letter case cannot change the template of a verbatim copy.
+    Names depend on the items only, so a document's letter case cannot change the template of a verbatim copy.
     """
-    lower, upper = set(), set()
-    for text in items:
-        for w, cap, first in _cased(text):
-            if not cap:
-                lower.add(w)
-            elif not first:
-                upper.add(w)
-    names = frozenset(w for w in upper - lower if not w.isdigit())
-    words = sorted({w for text in items for w in words_of(text)} - names - UNITS)
-    return {w: _FIRST + i for i, w in enumerate(x for x in words if not x.isdigit())}, names
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: dict[str, list[bool]] = {}
+            for text in b["item_text"]:
+                for w, cap, first in _cased(text):
+                    s = seen.setdefault(w, [False, False])
+                    s[0] |= not cap
+                    s[1] |= cap and not first
+            yield pd.DataFrame([(w, *s) for w, s in seen.items()], columns=["word", "small", "inside"])
+
+    facts = items.mapInPandas(scan, "word string, small boolean, inside boolean")
+    return facts.groupBy("word").agg((F.max("inside") & ~F.max("small")).alias("is_name"))
+
+
+def vocabulary(items: DataFrame, scratch: Scratch) -> tuple[dict[str, int], frozenset[str]]:
+    """Codes of the ordinary words of all items, and their names; refuses more than ``VOCABULARY_CHARS``."""
+    facts = scratch.write(word_facts(items), "words")
+    chars = facts.agg(F.sum(F.length("word"))).head()[0] or 0
+    if chars > VOCABULARY_CHARS:
+        raise ValueError(f"the items have {chars} characters of distinct words; at most {VOCABULARY_CHARS} fit the tasks")
+    rows = [r for r in facts.collect() if not r["word"].isdigit()]
+    names = frozenset(r["word"] for r in rows if r["is_name"])
+    words = sorted({r["word"] for r in rows} - names - UNITS)
+    return {w: _FIRST + i for i, w in enumerate(words)}, names
 
 
 def _codes(words: list[str], vocab: dict[str, int], names: frozenset[str], capital: set[str]) -> np.ndarray:
@@ -100,20 +120,45 @@ def _hashes(codes: np.ndarray, width: int = WINDOW) -> np.ndarray:
     return h
 
 
-def _windows(key, text: str, vocab, names, keep: np.ndarray | None, cased: bool) -> Iterator[tuple]:
+class Filter(NamedTuple):
+    """Bits set at four places of each hash, so a hash without all of them is in no item."""
+
+    words: np.ndarray
+
+    @staticmethod
+    def places(h, bits: int):
+        """Four places of a hash; ``h`` is an array, or a Column of a long."""
+        if isinstance(h, np.ndarray):
+            h = h.view(np.int64)
+            return [(h >> np.int64(s)) & np.int64(bits - 1) for s in (0, 13, 26, 37)]
+        return [F.shiftright(h, s).bitwiseAND(F.lit(bits - 1)) for s in (0, 13, 26, 37)]
+
+    @classmethod
+    def of(cls, windows: DataFrame, n: int) -> Filter:
+        """From a table's column ``template``, as at most ``FILTER_BITS[1] / 64`` rows of combined bits."""
+        bits = min(max(1 << (16 * max(n, 1) - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+        place = windows.select(F.explode(F.array(*cls.places(F.col("template"), bits))).alias("p"))
+        word = place.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+        got = np.zeros(bits // 64, dtype=np.int64)
+        for r in word.collect():
+            got[r["w"]] = r["b"]
+        return cls(got.view(np.uint64))
+
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(h), dtype=bool)
+        for p in self.places(h, 64 * len(self.words)):
+            ok &= (self.words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return ok
+
+
+def _windows(key, text: str, vocab, names, keep: Filter | None, cased: bool) -> Iterator[tuple]:
     words = words_of(text)
     if len(words) < WINDOW:
         return
     capital = {w for w, cap, first in _cased(text) if cap and not first} if cased else set()
     codes = _codes(words, vocab, names, capital)
     h = _hashes(codes)
-    if keep is None:
-        at = np.arange(len(h))
-    else:
-        if not len(keep):
-            return
-        i = np.minimum(np.searchsorted(keep, h), len(keep) - 1)
-        at = np.flatnonzero((keep[i] == h) & (h != 0))
+    at = np.arange(len(h)) if keep is None else np.flatnonzero(keep.may_hold(h) & (h != 0))
     for p in at:
         part, kinds = words[p : p + WINDOW], codes[p : p + WINDOW]
         slots = [f"{int(k)}:{w}" for w, k in zip(part, kinds) if k < _FIRST]
@@ -123,57 +168,53 @@ def _windows(key, text: str, vocab, names, keep: np.ndarray | None, cased: bool)
 _SCHEMA = "pos long, template long, exact string, slots array<string>"
 
 
-def template_matches(documents: DataFrame, items: DataFrame, renamed: bool = True) -> DataFrame:
-    """Pairs of windows with one template: ``doc_id, item_id, dpos, ipos, verbatim, dslots, islots``.
+def window_tables(documents: DataFrame, items: DataFrame, scratch: Scratch, renamed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Windows of the documents that an item may have, and those of the items: ``doc_id`` or ``item_id`` and ``_SCHEMA``.
 
-    The items are the stated query set: they come to the driver in blocks of at most ``BLOCK_ITEMS``, whose vocabulary
-    and hashes are broadcast; each block meets every document in one pass without shuffling a text. Only windows whose
-    hash is an item's leave the pass. Without ``renamed`` unknown capitalised words are no names, which is enough for
-    verbatim leaks.
+    Vocabulary and names come from all items, so a result does not depend on which items are asked for together. The
+    documents are read in one pass, and no text is shuffled. Without ``renamed`` unknown capitalised words are no names,
+    which is enough for verbatim leaks.
     """
     spark = documents.sparkSession
     docs = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
-    # two blocks never hold one item: the block follows from the item's place in the order of ids
-    rows = items.where("item_text is not null and item_id is not null").select("item_id", "item_text").distinct()
-    found: DataFrame | None = None
-    last = None
-    while True:
-        part = rows if last is None else rows.where(F.col("item_id") > last)
-        block = part.orderBy("item_id", "item_text").limit(BLOCK_ITEMS).collect()
-        if not block and found is not None:
-            break
-        last = block[-1][0] if block else None
-        if len(block) == BLOCK_ITEMS:  # an id is not torn apart
-            block += [r for r in rows.where(F.col("item_id") == last).collect() if r not in block]
-        vocab, names = vocabulary([r[1] for r in block])
-        own = [w for r in block for w in _windows(r[0], r[1], vocab, names, None, False)]
-        keep = np.unique(np.array([w[2] for w in own], dtype=np.int64).astype(np.uint64))
-        shared = spark.sparkContext.broadcast((vocab, names, keep))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            v, n, k = shared.value
+    rows = scratch.write(items.where("item_text is not null and item_id is not null").select("item_id", "item_text").distinct(), "items")
+    vocab, names = vocabulary(rows, scratch)
+    words = spark.sparkContext.broadcast((vocab, names))
+
+    def scan(kind: str, keep, cased: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            (v, n), k = words.value, keep.value if keep else None
             for b in batches:
-                out = [w for key, text in zip(b["doc_id"], b["text"]) for w in _windows(key, text, v, n, k, renamed)]
-                yield pd.DataFrame(out, columns=["doc_id", "pos", "template", "exact", "slots"])
+                out = [w for key, text in zip(b.iloc[:, 0], b.iloc[:, 1]) for w in _windows(key, text, v, n, k, cased)]
+                yield pd.DataFrame(out, columns=[kind, "pos", "template", "exact", "slots"])
+
+        return run
 
-        of_docs = docs.mapInPandas(scan, f"doc_id long, {_SCHEMA}")
-        of_items = spark.createDataFrame(own, f"item_id long, {_SCHEMA}")
-        pairs = of_docs.alias("d").join(of_items.alias("i"), "template").select(
-            "doc_id", "item_id", F.col("d.pos").alias("dpos"), F.col("i.pos").alias("ipos"),
-            (F.col("d.exact") == F.col("i.exact")).alias("verbatim"), F.col("d.slots").alias("dslots"), F.col("i.slots").alias("islots"),
-        )
-        found = pairs if found is None else found.unionByName(pairs)
-        if len(block) < BLOCK_ITEMS:
-            break
-    return found
+    of_items = scratch.write(rows.mapInPandas(scan("item_id", None, False), f"item_id long, {_SCHEMA}"), "windows")
+    keep = spark.sparkContext.broadcast(Filter.of(of_items, of_items.count()))
+    return docs.mapInPandas(scan("doc_id", keep, renamed), f"doc_id long, {_SCHEMA}"), of_items
+
+
+def template_matches(documents: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of windows with one template: ``doc_id, item_id, dpos, ipos, verbatim, dslots, islots``; equal slots make a
+    pair verbatim."""
+    of_docs, of_items = window_tables(documents, items, scratch)
+    return of_docs.alias("d").join(of_items.alias("i"), "template").select(
+        "doc_id", "item_id", F.col("d.pos").alias("dpos"), F.col("i.pos").alias("ipos"),
+        (F.col("d.slots") == F.col("i.slots")).alias("verbatim"), F.col("d.slots").alias("dslots"), F.col("i.slots").alias("islots"),
+    )
 
 
 def verbatim_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id``: at least ``WINDOW`` consecutive words of the item stand in the document.
 
-    Null and short texts have no window. Rows with equal ids count once; equal items each give a row.
+    Windows with one template and equal slots, so windows of other values never meet; the words are compared once
+    more, since templates are hashes. Null and short texts have no window. Rows with equal ids count once; equal items
+    each give a row.
     """
-    return template_matches(documents, items, renamed=False).where("verbatim").select("doc_id", "item_id").distinct()
+    of_docs, of_items = window_tables(documents, items, Scratch(documents.sparkSession, "verbatim"), renamed=False)
+    own = of_items.select("item_id", "template", "slots", F.col("exact").alias("_own")).distinct()
+    return of_docs.join(own, ["template", "slots"]).where(F.col("exact") == F.col("_own")).select("doc_id", "item_id").distinct()
 
 
 def renamed_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -186,7 +227,7 @@ def renamed_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     several alignments that count the one with the most windows, then the most slots, gives the figures.
     """
     scratch = Scratch(documents.sparkSession, "leakage")
-    m = template_matches(documents, items).where(F.size("islots") <= WINDOW - MIN_FIXED)
+    m = template_matches(documents, items, scratch).where(F.size("islots") <= WINDOW - MIN_FIXED)
     m = scratch.write(m.withColumn("shift", F.col("dpos") - F.col("ipos")), "matches")
     copied = m.where("verbatim").select("doc_id", "item_id", "dpos", F.lit(True).alias("copied")).distinct()
     other = ~F.col("verbatim") & F.col("copied").isNull()
