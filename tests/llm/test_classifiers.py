@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from weftgraph.llm.source_origin import COPY_NOTICE, foreign_files, has_notice, path_facts, without_notice
+from weftgraph.llm.source_origin import COPY_NOTICE, file_features, fit_origin, foreign_files, has_notice, is_one_literal, path_facts, without_notice
 from weftgraph.llm.spam_pages import page_features, spam_pages
 from weftgraph.llm.trees import fit_forest
 
@@ -98,3 +99,17 @@ def test_trees_learn_and_agree():
     assert np.array_equal(f.predict(x[:50]), fit_forest(x[:1500], y[:1500], n_trees=20, max_depth=8, features=0.7).predict(x[:50]))
     assert (fit_forest(np.empty((0, 3)), np.empty(0)).predict(np.zeros((2, 3))) == 0).all()
     assert (fit_forest(np.ones((9, 2)), np.ones(9)).predict(np.ones((1, 2))) == 1).all()
+
+
+def test_marks_stay_hidden_and_unmarked_files_are_found():
+    r = np.random.default_rng(2)
+    hand = lambda i: "\n".join(f"function total{i}_{j}(items) {{\n  // adds the {j}th part\n  return items.value{j} + {r.integers(99)};\n}}" for j in range(r.integers(4, 9)))
+    mini = lambda: "".join(f"function {chr(97 + r.integers(26))}{r.integers(9)}(t,e){{return t+e*{r.integers(99)}}}" for _ in range(r.integers(40, 80)))
+    # half of the minified files are marked, by a name or a notice; a notice or a name changes no feature
+    assert file_features("/*! kit 1.6.6 */\n" + (m := mini()), "/w/a.min.js") == file_features(m, "/w/a.js")
+    rows = [(f"h{i}", False, file_features(hand(i), f"/w/h{i}.js")) for i in range(300)] + [(f"m{i}", i % 2 == 0, file_features(mini(), f"/w/m{i}.js")) for i in range(120)]
+    forest, (share, _) = fit_origin(pd.DataFrame(rows, columns=["body", "marked", "x"]))
+    score = forest.predict(np.array([x for *_, x in rows])) / share
+    assert (score[:300] < 0.5).all() and (score[300:] > 0.5).mean() > 0.95 and 0.3 < share < 0.7
+    assert fit_origin(pd.DataFrame([], columns=["body", "marked", "x"]))[1] == (1.0, 1.0)
+    assert is_one_literal("x = [" + "1, " * 300 + "]", "a.py") and not is_one_literal("x = [1]", "a.py") and not is_one_literal("1, " * 300, "a.md")

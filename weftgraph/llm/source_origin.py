@@ -1,9 +1,9 @@
 """Generated, minified or vendored source files, told from hand-written ones by a random forest.
 
-Notices in a file's head or comments label it, and so do a tool's file name and a body that is nearly all literals; notices and
-names are hidden from the features. The forest learns what such files look like from the rest
-(compression ratio, token entropy, identifier lengths, comment density, line and literal shapes) and so finds those
-without any mark. Copies of a file that is known by its notice or folder count too.
+Files are labelled by marks that are hidden from the features: a notice in a comment, a tool's file name, a body that is
+one literal. The forest learns what labelled files look like from the rest (compression ratio, token entropy, identifier
+lengths, comment density, shapes of lines, kinds of folders) and its score decides every file without a notice. A notice
+itself is a certain label, for all files with that body: files copied from a package look like hand-written ones.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from weftgraph.llm.sampling import bounded_sample
 from weftgraph.llm.trees import fit_forest
 from weftgraph.session import Scratch
 
-#: Most rows that the forest is fitted on.
+#: Most bodies that the forest is fitted on.
 SAMPLE_ROWS = 20_000
 #: Shorter bodies are no evidence that one file is a copy of another.
 LEAST_COPY_CHARS = 80
-#: A code file of some length with at most so many names outside its literals is data.
-FEW_NAMES = 4
+#: A code file of at least so many characters with at most so many names outside its literals is data.
+LEAST_BLOB_CHARS, FEW_NAMES = 400, 4
 
 # Wordings by which a tool or a bundler marks a file as its own.
 NOTICE = re.compile(
@@ -76,8 +76,8 @@ LITERAL = re.compile(r"'''(?s:.*?)'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'
 BLOB = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 
 FEATURES = (
-    "size", "ratio", "entropy", "identifier", "short_identifiers", "comments", "longest_line", "mean_line", "digits", "literals",
-    "blanks", "line_shapes", "blob", "output_folder", "is_code", "is_style", "is_config", "numbers", "bare", "counting",
+    "size", "ratio", "entropy", "identifier", "short_identifiers", "comments", "longest_line", "mean_line", "digits",
+    "blanks", "line_shapes", "blob", "output_folder", "is_code", "is_style", "is_config", "numbers", "counting", "package_folder",
 )
 
 
@@ -166,8 +166,8 @@ def path_facts(path: str | None) -> tuple[bool, float, bool, str]:
 
 
 def file_features(text: str, path: str | None) -> list[float]:
-    """The features in the order of ``FEATURES``; the notice itself is not among what they see."""
-    _, folder, _, ext = path_facts(path)
+    """The features in the order of ``FEATURES``; notices and names are not among what they see."""
+    package, folder, _, ext = path_facts(path)
     body = without_notice(text)
     n = max(1, len(body))
     plain = COMMENT.sub("", body)
@@ -185,13 +185,6 @@ def file_features(text: str, path: str | None) -> list[float]:
     firsts = [int(x) for x in FIRST_NUMBER.findall(body)]
     raw = body.encode("utf-8", "surrogatepass")
     octets = np.frombuffer(raw, dtype=np.uint8)
-    rest, inside = [], 0
-    at = 0
-    for m in LITERAL.finditer(plain):
-        rest.append(plain[at : m.start()])
-        at = m.end()
-        inside += at - m.start()
-    rest.append(plain[at:])
     return [
         float(np.log1p(n)),
         len(zlib.compress(raw, 1)) / max(1, len(raw)),
@@ -202,7 +195,6 @@ def file_features(text: str, path: str | None) -> list[float]:
         float(np.log1p(max(map(len, lines)))),
         float(np.log1p(n / max(1, full))),
         float(((octets >= 48) & (octets <= 57)).sum()) / max(1, len(raw)),
-        inside / n,
         float((octets <= 32).sum()) / max(1, len(raw)),
         len(shapes) / max(1, full),
         sum(len(x) for x in BLOB.findall(body)) / n,
@@ -211,8 +203,8 @@ def file_features(text: str, path: str | None) -> list[float]:
         float(ext in ("css", "scss", "less")),
         float(ext in ("json", "yaml", "yml", "toml", "env", "xml", "ini")),
         sum(c for t, c in count.items() if t[0].isdigit()) / total,
-        float(len(IDENTIFIER.findall(" ".join(rest)))),
         sum(b == a + 1 for a, b in zip(firsts, firsts[1:])) / max(1, full),
+        float(package),
     ]
 
 
@@ -222,68 +214,83 @@ def body_digest(text: str) -> str | None:
     return hashlib.md5(body.encode("utf-8", "surrogatepass")).hexdigest() if len(body) >= LEAST_COPY_CHARS else None
 
 
-def _is_blob(x: list[float]) -> bool:
-    """Data saved as code: hardly any names stand outside the literals of a code file."""
-    at = FEATURES.index
-    return bool(x[at("is_code")]) and x[at("size")] > 6 and x[at("bare")] <= FEW_NAMES
+def is_one_literal(text: str, path: str | None) -> bool:
+    """Data saved as code: hardly any names stand outside the literals of a code file of some length."""
+    body = without_notice(text)
+    if path_facts(path)[3] not in CODE_TYPES or len(body) < LEAST_BLOB_CHARS:
+        return False
+    return len(IDENTIFIER.findall(LITERAL.sub(" ", COMMENT.sub("", body)))) <= FEW_NAMES
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for uuid, path, text in zip(b["file_uuid"], b["source_path"], b["file_content"]):
-            x = file_features(text, path)
-            package, _, named, _ = path_facts(path)
-            made, copied = has_notice(text), package or has_notice(text, COPY_NOTICE)
-            # a copied file looks like any hand-written one, so it teaches the forest nothing
-            label = 1 if made or named or _is_blob(x) else None if copied else 0
-            out.append((uuid, made or copied, label, body_digest(text), x))
-        yield pd.DataFrame(out, columns=["file_uuid", "known", "label", "digest", "x"]).astype({"label": "Int32"})
+            noticed = has_notice(text) or has_notice(text, COPY_NOTICE)
+            marked = noticed or path_facts(path)[2] or is_one_literal(text, path)
+            out.append((uuid, body_digest(text) or f"of {uuid}", noticed, marked, file_features(text, path)))
+        yield pd.DataFrame(out, columns=["file_uuid", "body", "noticed", "marked", "x"])
+
+
+def labelled_bodies(feats: DataFrame) -> DataFrame:
+    """``body, noticed, marked, x``: bodies with the marks of all their files, and the features of the first one."""
+    first = F.min(F.struct("file_uuid", "x"))["x"]
+    return feats.groupBy("body").agg(F.max("noticed").alias("noticed"), F.max("marked").alias("marked"), first.alias("x"))
+
+
+def fit_origin(bodies: pd.DataFrame):
+    """(forest, labelled share outside and inside package folders) from ``body, marked, x``.
+
+    Not all foreign files bear a mark, so the forest learns from labelled and unlabelled ones: what it gives is the
+    chance of a mark. The mean chance that trees give labelled files which they did not see is how often foreign files
+    are marked, and divides it (Elkan and Noto); it differs inside package folders, where few copies have a notice.
+    """
+    sample = bodies.sort_values("body")
+    x = np.array(sample["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
+    y = sample["marked"].to_numpy(dtype=float)
+    # a body counts once, and leaves hold a dozen, so no library that was copied often is learned by heart
+    forest = fit_forest(x, y, n_trees=60, max_depth=9, min_leaf=12, features=0.3)
+    inside = x[:, -1] > 0
+    shares = []
+    for part in (~inside, inside):
+        held = forest.oob[part & (y == 1) & ~np.isnan(forest.oob)] if len(y) else np.array([])
+        shares.append(max(float(held.mean()), 1e-3) if len(held) else None)
+    out, own = shares[0] or shares[1] or 1.0, shares[1] or shares[0] or 1.0
+    return forest, (out, own)
 
 
 def foreign_scores(files: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``file_uuid, known, copied, score``: how likely a file was not written by hand.
+    """``file_uuid, noticed, score``: how likely a file was not written by hand.
 
-    One pass over the contents makes features, label and digest; a bounded sample of labelled and other rows fits the
-    forest; a pass over the features predicts. Not all foreign files have a notice, so the forest learns from positive
-    and unlabelled rows: its output is divided by the mean output on labelled rows that a tree did not see. ``known``:
-    it has a notice or lies in a package folder; ``copied``: a file with the same body is known. Null contents give no row, rows of one uuid
-    count once.
+    One pass over the contents makes features, marks and body; a bounded sample of bodies fits the forest; a pass over
+    the features predicts. ``noticed``: a file with this body has a notice, which makes the score 1. Null contents give
+    no row, rows of one uuid count once.
     """
     spark = files.sparkSession
     scratch = Scratch(spark, "origin")
     rows = files.where("file_content is not null and file_uuid is not null").select("file_uuid", "source_path", "file_content")
-    feats = scratch.write(
-        rows.mapInPandas(_rows, "file_uuid string, known boolean, label int, digest string, x array<double>"), "features"
-    )
-    labelled = feats.where("label is not null")
-    # one draw from all labelled and other rows keeps their shares, on which the division below rests
-    sample = bounded_sample(labelled, F.col("file_uuid"), sample_rows, labelled.count()).select("file_uuid", "x", "label").toPandas().sort_values("file_uuid")
-    x = np.array(sample["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
-    y = sample["label"].to_numpy(dtype=float)
-    forest = fit_forest(x, y, n_trees=60, max_depth=9, min_leaf=12, features=0.5)
-    held = forest.oob[(y == 1) & ~np.isnan(forest.oob)] if len(y) else np.array([])
-    scale = float(held.mean()) if len(held) else 1.0
+    feats = scratch.write(rows.mapInPandas(_rows, "file_uuid string, body string, noticed boolean, marked boolean, x array<double>"), "features")
+    bodies = scratch.write(labelled_bodies(feats), "bodies")
+    drawn = bounded_sample(bodies, F.col("body"), sample_rows, bodies.count()).select("body", "marked", "x").toPandas()
+    forest, shares = fit_origin(drawn)
     forest.oob = None
-    model = spark.sparkContext.broadcast((forest, max(scale, 1e-3)))
+    model = spark.sparkContext.broadcast((forest, shares))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f, c = model.value
+        f, (outside, inside) = model.value
         for b in batches:
             m = np.array(b["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
-            out = b[["file_uuid", "known", "digest"]].copy()
-            out["score"] = np.minimum(1.0, f.predict(m) / c)
+            out = b[["file_uuid", "body"]].copy()
+            out["score"] = np.minimum(1.0, f.predict(m) / np.where(m[:, -1] > 0, inside, outside))
             yield out
 
-    scored = feats.select("file_uuid", "known", "digest", "x").mapInPandas(score, "file_uuid string, known boolean, digest string, score double")
-    source = feats.where("digest is not null and known").select("digest").distinct().withColumn("copied", F.lit(True))
-    return (
-        scored.join(source, "digest", "left")
-        .groupBy("file_uuid")
-        .agg(F.max("known").alias("known"), F.max(F.coalesce("copied", F.lit(False))).alias("copied"), F.max("score").alias("score"))
-    )
+    scored = feats.select("file_uuid", "body", "x").mapInPandas(score, "file_uuid string, body string, score double")
+    # a row per noticed body on the right, so a body that many files share lies on the side that AQE can split
+    source = bodies.where("noticed").select("body", F.lit(True).alias("noticed"))
+    got = scored.join(source.hint("merge"), "body", "left").withColumn("noticed", F.coalesce("noticed", F.lit(False)))
+    return got.groupBy("file_uuid").agg(F.max("noticed").alias("noticed"), F.max(F.when(F.col("noticed"), 1.0).otherwise(F.col("score"))).alias("score"))
 
 
 def foreign_files(files: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``file_uuid`` of the files that no one wrote by hand here: score above the threshold, known by a mark, or a copy."""
-    return foreign_scores(files).where((F.col("score") > threshold) | F.col("known") | F.col("copied")).select("file_uuid")
+    """``file_uuid`` of the files that no one wrote by hand here: those whose score is above the threshold."""
+    return foreign_scores(files).where(F.col("score") > threshold).select("file_uuid")
