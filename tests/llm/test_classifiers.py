@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from weftgraph.llm.source_origin import COPY_NOTICE, file_features, fit_origin, foreign_files, has_notice, is_one_literal, path_facts, without_notice
-from weftgraph.llm.spam_pages import page_features, spam_pages
+from weftgraph.llm.spam_pages import FEATURES, page_facts, page_features, spam_pages, weak_label, without_links
 from weftgraph.llm.trees import fit_forest
 
 MADE = ["// Code generated by toolgen v1.2. DO NOT EDIT.", "# Archivo generado por x 1.2. No modificar.", "/* AUTOGENERATED FILE - run `make x` */", "// Automatisch erzeugt aus docs/x.ts, nicht von Hand", "# @generated by x-codegen",
@@ -87,7 +87,7 @@ def test_spam(spark):
     got = [r["doc_id"] for r in spam_pages(df).collect()]
     assert set(got) == set(spam) | {200 + i for i in range(30)} and len(got) == len(set(got))
     assert spam_pages(df.limit(0)).count() == 0
-    assert len(page_features("x" * 1_000_000)) == 13
+    assert len(page_features("x" * 1_000_000)) == len(FEATURES)
 
 
 def test_trees_learn_and_agree():
@@ -113,3 +113,34 @@ def test_marks_stay_hidden_and_unmarked_files_are_found():
     assert (score[:300] < 0.5).all() and (score[300:] > 0.5).mean() > 0.95 and 0.3 < share < 0.7
     assert fit_origin(pd.DataFrame([], columns=["body", "marked", "x"]))[1] == (1.0, 1.0)
     assert is_one_literal("x = [" + "1, " * 300 + "]", "a.py") and not is_one_literal("x = [1]", "a.py") and not is_one_literal("1, " * 300, "a.md")
+
+
+def test_links_of_any_length():
+    long = "a" * 3000
+    assert without_links(f"<a href='{long}'>{long}</a> x").split() == ["x"] and without_links(f"[{long}](http://h.test/{long}) x").split() == ["x"]
+    assert without_links("see h1.example/a/b and docs/a/b.json or ./x.ts").split() == ["see", "and", "docs/a/b.json", "or", "./x.ts"]
+    assert without_links("<a href=x> open") == "<a href=x> open" and without_links("a <b>c</b>") == "a <b>c</b>"
+    for bad in ("<a " * 60_000, "[" * 200_000, "[x](" * 60_000, "www." * 60_000):  # linear time
+        page_features(bad)
+
+
+def test_what_is_listed():
+    listed = ["remote (12), schema (90), chunk (68), merger (34), schema (5), chunk (16)", "* h25.example/edge/6962\n* k37.example/relation/6783", "Tools in Aldton, Graph tools Belburg, Tools - Cedarby, Tools Dorham, Tools Estmere, Tools in Foxton",
+              "SKU: a-1 | Color b-2 | SKU=c-3 | Size d-4 | SKU e-5 | Size f-6", "remote placeholder recursive duplicate mention partial node stale snapshot chunker transition orphaned"]
+    for text in listed:
+        assert page_facts(text)[0] > 0.9, text
+    for text in (PROSE, "| a | string | " + PROSE + " |", "const a = b;\nreturn a;", "", "one, two, three", "It holds nodes, edges, files, chats, spans, links, hits and more."):
+        assert page_facts(text)[0] < 0.1, text
+    assert weak_label(np.array([0.0, 0.5, 0.9])).tolist()[::2] == [0.0, 1.0]
+
+
+def test_trees_find_what_the_labels_leave_out():
+    r = np.random.default_rng(4)
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(26)]
+    spam = lambda: ", ".join(r.choice(words, r.integers(20, 60)))
+    clean = lambda: " ".join(PROSE.replace("relation", r.choice(words)).replace("37", str(r.integers(99))) for _ in range(r.integers(1, 5)))
+    x = np.array([page_features(t) for t in [clean() for _ in range(200)] + [spam() for _ in range(60)]])
+    y = np.r_[np.zeros(200), np.ones(60)]
+    held = r.random(260) < 0.4
+    f = fit_forest(x[~held], y[~held], n_trees=40, max_depth=8, min_leaf=5)
+    assert ((f.predict(x[held]) > 0.5) == y[held]).all()
