@@ -11,6 +11,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -55,7 +56,6 @@ LINK = re.compile(
     r"|(?<![\w./@\-])[a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z]{2,}/[^\s<>\"')\],|]*",
     re.I,
 )
-MARKS_OF_LINKS = ("//", "](", "</a", "ww.", "/")
 ITEM = re.compile(r"[,|;•·]|\s[-–—]\s")
 WORD = re.compile(r"[^\W\d_]+")
 TAG = re.compile(r"(?<!\S)#\w+")
@@ -71,10 +71,10 @@ FEATURES = (
 
 def without_links(unit: str) -> str:
     """The unit with a blank for each link: anchors with their texts, Markdown links, addresses with or without scheme."""
-    if not any(m in unit for m in MARKS_OF_LINKS):
+    if not ("/" in unit or "](" in unit or "ww." in unit):  # every form of a link has one of these
         return unit
     out, at, opened = [], 0, None
-    for m in ANCHOR.finditer(unit):
+    for m in ANCHOR.finditer(unit) if "</" in unit else ():
         if m[0][1] != "/":
             opened = m.start() if opened is None else opened
         elif opened is not None:
@@ -94,22 +94,18 @@ def page_facts(text: str) -> tuple[float, list[float]]:
     bare = [without_links(u) for u in units]
     words = [WORD.findall(b.lower()) for b in bare]
     owns = [[w for w in ws if w not in FUNCTION_WORDS] for ws in words]
-    outside: Counter[str] = Counter()
-    for own in owns:
-        outside.update(own)
+    outside = Counter(chain.from_iterable(owns))
     # a keyword recurs more often than prose repeats its subject
     least = max(5, 0.04 * sum(outside.values()))
     hot = {w for w, c in outside.items() if c >= least}
     # the features count the words of links too, or a page of nothing but links would have none
-    content: Counter[str] = Counter()
-    pairs: set[tuple[str, str]] = set()
-    n_pairs = n_words = 0
-    for u, b, ws in zip(units, bare, words):
-        ws = ws if b is u else WORD.findall(u.lower())
-        content.update(w for w in ws if w not in FUNCTION_WORDS)
-        pairs.update(zip(ws, ws[1:]))
-        n_pairs += max(0, len(ws) - 1)
-        n_words += len(ws)
+    linked = [WORD.findall(u.lower()) for u, b in zip(units, bare) if b is not u]
+    every = list(chain.from_iterable(linked + [ws for u, b, ws in zip(units, bare, words) if b is u]))
+    n_words, n_pairs = len(every), max(0, len(every) - 1)
+    pairs = set(zip(every, every[1:]))
+    content = Counter(every)
+    for w in content.keys() & FUNCTION_WORDS:
+        del content[w]
     n_content = sum(content.values())
     heads = Counter(ws[0] for ws in words if ws)
     sentence = listed = empty = code = 0.0
@@ -119,7 +115,7 @@ def page_facts(text: str) -> tuple[float, list[float]]:
         prose = len(ws) >= 4 and 5 * (len(ws) - len(own)) > len(ws) and ended
         is_link = b is not u and size - len(b.replace(" ", "")) - u.count(" ") > 0.5 * size
         is_tag = "#" in u and len(TAG.findall(u)) >= 2
-        is_code = bool(CODE.search(u))
+        is_code = not prose and bool(CODE.search(u))
         form = False
         if not prose and ws and not is_code:
             form = bool(own) and bool(hot) and sum(w in hot for w in own) >= 0.5 * len(own)
@@ -139,7 +135,7 @@ def page_facts(text: str) -> tuple[float, list[float]]:
         sentence / total,
         1 - n_content / n_words if n_words else 0.0,
         len(content) / n_content if n_content else 1.0,
-        sum(c for _, c in content.most_common(5)) / n_content if n_content else 0.0,
+        sum(sorted(content.values())[-5:]) / n_content if n_content else 0.0,
         len(zlib.compress(raw, 1)) / max(1, len(raw)),
         count(b"0123456789") / max(1, len(raw)),
         float(np.log1p(n_words)),
