@@ -70,3 +70,29 @@ def test_parts_are_balanced(n_parts):
     x = N.unit(rng.normal(size=(400, 6)).astype(np.float32))
     part = N.balanced_parts(x, N.sample_graph(x, 5), n_parts, rng)
     assert np.bincount(part, minlength=n_parts).max() <= np.ceil(1.1 * 400 / n_parts)
+
+
+def test_part_numbers():
+    assert N.part_numbers(0, 0) == (1, 1) and N.part_numbers(999, 999) == (1, 1) and N.part_numbers(8_000, 8_000) == (8, 1)
+    for n in (10**6, 10**8):  # as many parts as asked for, each learned from enough of a sample
+        outer, inner = N.part_numbers(n, N.SAMPLE_ROWS)
+        assert outer * inner * N.PART_ROWS >= n and max(outer, inner) <= -(-N.SAMPLE_ROWS // N.PART_SAMPLE) + 10
+
+
+def test_recall_with_parts_cut_twice(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 16))
+    rows = [(f"u{i:05d}", centres[i % 60] + 0.5 * rng.normal(size=16)) for i in range(4000)]
+    monkeypatch.setattr(N, "PART_ROWS", 120)
+    monkeypatch.setattr(N, "PART_SAMPLE", 100)
+    monkeypatch.setattr(N, "SAMPLE_ROWS", 900)
+    seen = []
+    plain = N._fit_inner
+    monkeypatch.setattr(N, "_fit_inner", lambda *a: seen.append(plain(*a)) or seen[-1])
+    got = {tuple(r) for r in N.similar_vectors(table(spark, rows), 16, 5, 900).select("uuid", "neighbour").collect()}
+    assert len(seen) == 1 and len(seen[0]) > 3 and any(len(r.b2) > 1 for r in seen[0].values())
+    x = np.stack([v / np.linalg.norm(v) for _, v in rows])
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    want = {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in np.argsort(-s[i])[:5]}
+    assert len(got) == len(want) and len(want & got) / len(want) >= 0.93

@@ -3,10 +3,13 @@
 A neighbour graph over a bounded sample is cut into balanced parts, a small network learns to tell a vector's part, and
 it then assigns every vector to its most probable part and routes every query to several. Inside a part the true
 cosines decide. How many parts a query visits follows from held-out sample vectors and is the same rule at any size.
+A sample can teach so many parts only; larger collections are cut twice, each part of the first cut again by a network
+fitted on a sample of its own.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +25,7 @@ from weftgraph.session import Scratch
 #: Most vectors that graph and network are fitted on; a tenth of them is held out to choose the number of parts to visit.
 SAMPLE_ROWS = 20_000
 #: Vectors a part should hold, and sample vectors that a part needs to be learned.
-PART_ROWS, PART_SAMPLE = 4_000, 64
+PART_ROWS, PART_SAMPLE = 1_000, 64
 #: Share of the held-out vectors' sample neighbours that the visited parts must hold.
 TARGET_RECALL = 0.995
 #: Most vectors and queries of one group of work; larger parts are split, so no group grows with the data.
@@ -179,24 +182,83 @@ def _matrix(column: pd.Series, dim: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float32) if len(column) else np.empty((0, dim), np.float32)
 
 
+def part_numbers(n: int, sample: int) -> tuple[int, int]:
+    """Parts of the first cut, and of each of these in the second one (1 for none)."""
+    want, most = -(-n // PART_ROWS), max(1, sample // PART_SAMPLE)
+    if want <= most:
+        return max(1, want), 1
+    first = min(most, int(np.ceil(np.sqrt(want))))
+    return first, -(-want // first)
+
+
+def _route(classes: DataFrame, router, dim: int) -> DataFrame:
+    """``uuid, vec, route``: the parts that a vector's neighbours are looked for in, its own part first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = router.value
+        for b in batches:
+            b["route"] = list(r.parts(unit(_matrix(b["vec"], dim)), r.probes).astype(np.int32)) if len(b) else []
+            yield b
+
+    return classes.select("uuid", "vec").mapInPandas(run, "uuid string, vec array<float>, route array<int>")
+
+
+def _fit_inner(routed: DataFrame, inner: int, dim: int, sample_rows: int) -> dict[int, Router]:
+    """A router for each part of the first cut, fitted in the executors on at most about ``sample_rows`` of its vectors.
+
+    There are at most ``SAMPLE_ROWS / PART_SAMPLE`` of them, of about 200 KB each, so they fit the driver and the tasks.
+    """
+    home = F.col("route")[0]
+    sizes = {r["p"]: r["n"] for r in routed.groupBy(home.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = routed.sparkSession.createDataFrame([(p, max(0.0, sample_rows - 7 * sample_rows**0.5) / n) for p, n in sizes.items()], "p int, share double")
+    draw = F.pmod(F.xxhash64("uuid", F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
+    own = routed.select("uuid", "vec", home.alias("p")).join(F.broadcast(share), "p").where(draw < F.col("share"))
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = unit(_matrix(pdf.sort_values("uuid")["vec"], dim))
+        r = fit_router(x, max(1, min(inner, len(x) // PART_SAMPLE)), seed=7 + int(key[0]))
+        return pd.DataFrame({"p": [key[0]], "router": [pickle.dumps(r)]})
+
+    got = own.groupBy("p").applyInPandas(fit, "p int, router binary").collect()
+    return {r["p"]: pickle.loads(bytes(r["router"])) for r in got}
+
+
+def _route_again(routed: DataFrame, inner, n_inner: int, dim: int) -> DataFrame:
+    """The routes within the parts of the first cut, as numbers of parts of both cuts; a vector's own part first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        routers = inner.value
+        for b in batches:
+            x = unit(_matrix(b["vec"], dim))
+            routes: list[list[int]] = [[] for _ in range(len(b))]
+            outer = np.stack(b["route"].to_numpy()) if len(b) else np.empty((0, 0), np.int32)
+            for place in range(outer.shape[1]):
+                for p in np.unique(outer[:, place]):
+                    rows = np.flatnonzero(outer[:, place] == p)
+                    r = routers.get(int(p))
+                    parts = r.parts(x[rows], r.probes) if r else np.zeros((len(rows), 1), np.int64)
+                    for i, own in zip(rows, parts + int(p) * n_inner):
+                        routes[i].extend(own.tolist())
+            b["route"] = routes
+            yield b
+
+    return routed.mapInPandas(run, "uuid string, vec array<float>, route array<int>")
+
+
 def nearest_classes(classes: DataFrame, dim: int, k: int, scratch: Scratch, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``a, b, score``: for each class of equal vectors (``uuid, vec``) its k most similar other classes."""
     spark = classes.sparkSession
     n = classes.count()
     drawn = bounded_sample(classes, F.col("uuid"), sample_rows, n).toPandas().sort_values("uuid")
     drawn = _matrix(drawn["vec"], dim)
-    n_parts = max(1, min(-(-n // PART_ROWS), len(drawn) // PART_SAMPLE))
-    router = spark.sparkContext.broadcast(fit_router(unit(drawn), n_parts))
+    n_outer, n_inner = part_numbers(n, len(drawn))
+    router = spark.sparkContext.broadcast(fit_router(unit(drawn), n_outer))
     del drawn
-    probes = router.value.probes
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["route"] = list(router.value.parts(unit(_matrix(b["vec"], dim)), probes).astype(np.int32)) if len(b) else []
-            yield b
-
-    routed = scratch.write(classes.select("uuid", "vec").mapInPandas(route, "uuid string, vec array<float>, route array<int>"), "routed")
-    # at most n_parts counts reach the driver
+    routed = scratch.write(_route(classes, router, dim), "routed")
+    if n_inner > 1:
+        inner = spark.sparkContext.broadcast(_fit_inner(routed, n_inner, dim, sample_rows))
+        routed = scratch.write(_route_again(routed, inner, n_inner, dim), "routed-again")
+    # a count per part reaches the driver
     held = {r[0]: r[1] for r in routed.select(F.col("route")[0].alias("p")).groupBy("p").count().collect()}
     asked = {r[0]: r[1] for r in routed.select(F.explode("route").alias("p")).groupBy("p").count().collect()}
     plan = spark.createDataFrame(
