@@ -25,7 +25,7 @@ from weftgraph.session import Scratch
 #: Most vectors that graph and network are fitted on; a tenth of them is held out to choose the number of parts to visit.
 SAMPLE_ROWS = 20_000
 #: Vectors a part should hold, and sample vectors that a part needs to be learned.
-PART_ROWS, PART_SAMPLE = 1_000, 64
+PART_ROWS, PART_SAMPLE = 2_000, 64
 #: Share of the held-out vectors' sample neighbours that the visited parts must hold.
 TARGET_RECALL = 0.995
 #: Most vectors and queries of one group of work; larger parts are split, so no group grows with the data.
