@@ -55,11 +55,15 @@ def sainte_lague(weights: Sequence[float], seats: int) -> list[int]:
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, source, n_tokens``: one row per doc_id; null texts have no tokens, null ids and sources no row."""
 
+    with open(tokenizer, "rb") as f:
+        vocabulary = f.read()
+    # a vocabulary is a file of a published size, a megabyte or less; only the driver needs the path
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             # lone surrogates cannot be encoded; they count as the replacement character
