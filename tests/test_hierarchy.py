@@ -103,3 +103,27 @@ def test_chains_and_pairs_of_live_nodes(spark):
 def test_against_walking(spark, items):
     rows = [row(i, p, d, day, n, x) for n, (i, p, d, day, x) in enumerate(items)]
     assert found(misplaced_nodes(nodes(spark, rows))) == expected(rows)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(-1, 40), min_size=1, max_size=41))
+def test_descendant_counts(spark, parents):
+    rows = [row(i, None if p < 0 else p) for i, p in enumerate(parents)]
+    live, res = brute(rows)
+    want = dict.fromkeys(live, 0)
+    for u in live:
+        if res[u][1] >= 0:
+            for _ in range(res[u][1]):
+                u = live[u][1].upper()
+                want[u] += 1
+    got = {r["uuid"]: r["n_descendants"] for r in full_hierarchy(nodes(spark, rows), ancestors=False).collect()}
+    assert got == want
+
+
+def test_a_long_chain_takes_logarithmic_rounds(spark, monkeypatch):
+    n, names = 300, []
+    plain = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name="t", partition_by=(): names.append(name) or plain(self, df, name, partition_by))
+    df = full_hierarchy(nodes(spark, [row(i, i - 1 if i else None) for i in range(n)]), ancestors=False)
+    assert {(r["uuid"], r["n_descendants"]) for r in df.collect()} == {(uid(i), n - 1 - i) for i in range(n)}
+    assert names.count("counts") <= 11 and names.count("round") <= 10

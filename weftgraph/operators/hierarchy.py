@@ -101,6 +101,9 @@ def resolve_hierarchy(
         F.col("id").alias("_pid"), F.col("anc").alias("_root"), F.col("dist").alias("_dist"),
         *([F.col("chain").alias("_chain")] if ancestors else []), *([F.col("path").alias("_path")] if names else []),
     )
+    result = scratch.write(result, "resolved")
+    for t in (*held, inner):
+        scratch.drop(t)
     found = F.col("_pid").isNotNull()
     cyclic = found & F.col("_root").isNull()
     out = links.join(result, links.pid == result["_pid"], "left")
@@ -125,6 +128,27 @@ def descendants(resolved: DataFrame) -> DataFrame:
     ).select("ancestor", "descendant", (F.col("_n") - F.col("_i")).cast("bigint").alias("distance"))
 
 
+def descendant_counts(resolved: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id, n_descendants`` of the nodes with children in a written result; nodes on or below a cycle are left out.
+
+    Doubling again: each inner node starts with its children's number and a pointer to its parent, and in every round
+    gives its sum to where it points and moves the pointer as far again. After k rounds a sum covers the subtree down to
+    2^k inner levels, so a chain of any length takes logarithmic rounds and no node's descendants are ever listed.
+    """
+    ok = resolved.where("real_depth >= 0")
+    kids = ok.where("real_depth > 0").groupBy("pid").agg(F.count(F.lit(1)).alias("n")).select(F.col("pid").alias("id"), "n")
+    parent = F.when(F.col("real_depth") > 0, F.col("pid")).alias("up")
+    state = scratch.write(ok.select("id", parent).join(kids, "id"), "counts")
+    while state.where("up is not null").head(1):
+        given = state.where("up is not null").groupBy("up").agg(F.sum("n").alias("_n")).select(F.col("up").alias("_id"), "_n")
+        above = state.select(F.col("id").alias("_up"), F.col("up").alias("_next"))
+        moved = state.join(above, F.col("up") == F.col("_up"), "left").select("id", F.col("_next").alias("up"), "n")
+        step = moved.join(given, F.col("id") == F.col("_id"), "left").select("id", "up", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+        last, state = state, scratch.write(step, "counts")
+        scratch.drop(last)
+    return state.select("id", F.col("n").alias("n_descendants"))
+
+
 def misplaced_nodes(nodes: DataFrame) -> DataFrame:
     """Live nodes on or below a cycle, and those whose stored depth is null or wrong: ``uuid, root_uuid, real_depth``."""
     scratch = Scratch(nodes.sparkSession, "hierarchy")
@@ -144,18 +168,17 @@ def all_descendants(nodes: DataFrame) -> DataFrame:
     return pairs.select(unpack_uuid(F.col("ancestor")).alias("ancestor"), unpack_uuid(F.col("descendant")).alias("descendant"), "distance")
 
 
-def full_hierarchy(nodes: DataFrame) -> DataFrame:
-    """Every live node with path of names, real depth, root, parent chain (``ancestors`` from the root to the parent,
-    null on or below a cycle) and number of descendants."""
+def full_hierarchy(nodes: DataFrame, ancestors: bool = True) -> DataFrame:
+    """Every live node with path of names, real depth, root, number of descendants and, if asked for, its parent chain
+    (``ancestors`` from the root to the parent, null on or below a cycle)."""
     scratch = Scratch(nodes.sparkSession, "hierarchy")
-    r = scratch.write(resolve_hierarchy(live_nodes(nodes, names=True), scratch, ancestors=True, names=True), "whole")
-    # the exploded pairs collapse in a map-side count before they are shuffled
-    below = descendants(r).groupBy("ancestor").agg(F.count(F.lit(1)).alias("n_descendants"))
-    return r.join(below, r.id == below.ancestor, "left").select(
+    r = scratch.write(resolve_hierarchy(live_nodes(nodes, names=True), scratch, ancestors=ancestors, names=True), "whole")
+    below = descendant_counts(r.select("id", "pid", "real_depth"), scratch).withColumnRenamed("id", "_id")
+    return r.join(below, r.id == F.col("_id"), "left").select(
         unpack_uuid(F.col("id")).alias("uuid"),
         F.coalesce(unpack_uuid(F.col("root")), F.lit("")).alias("root_uuid"),
         "real_depth",
         "path",
-        F.transform("ancestors", unpack_uuid).alias("ancestors"),
+        *([F.transform("ancestors", unpack_uuid).alias("ancestors")] if ancestors else []),
         F.coalesce("n_descendants", F.lit(0)).cast("bigint").alias("n_descendants"),
     )

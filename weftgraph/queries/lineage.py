@@ -17,8 +17,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    # its SQL has no chain; p3_whole keeps it
-    return full_hierarchy(table(spark, d, "nodes")).drop("ancestors")
+    return full_hierarchy(table(spark, d, "nodes"), ancestors=False)
 
 
 def p3_whole(spark: SparkSession, d: str) -> DataFrame:
