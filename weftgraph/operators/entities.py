@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import entity_id, entity_key
-from weftgraph.semantics import cosine, text_similarity
+from weftgraph.operators.strings import similar_pairs
+from weftgraph.semantics import cosine, norm
+from weftgraph.session import Scratch
 
 
 def similar_names(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     """``a, b, similarity`` (a < b by ``id``): entities of one type whose names are at least so similar.
 
-    Equal names are reduced to their smallest id first, so a name that many rows share is compared once. Pairs meet in
-    blocks of one type and of lengths that can reach the threshold, where an interval condition would pair all with
-    all; within them the edit distance decides. No pair at or above the threshold is lost: pairs of rows with equal
-    names stand in ``name_members``.
+    Equal names are reduced to their smallest id first, so a name that many rows share is compared once; pairs of rows
+    with equal names stand in ``name_members``. Names meet by equal segments (``strings``), which loses no pair.
     """
-    e = entities.groupBy("type", "name").agg(F.min("id").alias("id")).withColumn("len", F.length("name"))
-    near = F.sequence("len", F.floor(F.col("len") / F.lit(threshold) + 1e-9).cast("int"))
-    a = e.select(F.col("id").alias("a"), F.col("name").alias("an"), "type", F.explode(near).alias("len"))
-    b = e.select(F.col("id").alias("b"), F.col("name").alias("bn"), "type", "len", F.length("name").alias("bl"))
-    j = a.join(b, ["type", "len"]).where((F.length("an") < F.col("bl")) | (F.col("a") < F.col("b")))
-    sim = text_similarity(F.col("an"), F.col("bn"))
-    return j.where(sim >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), sim.alias("similarity"))
+    e = entities.groupBy("type", "name").agg(F.min("id").alias("id"))
+    return similar_pairs(e, threshold, text_col="name", block=F.col("type"))
 
 
 def name_members(entities: DataFrame) -> DataFrame:
@@ -33,11 +32,46 @@ def name_members(entities: DataFrame) -> DataFrame:
     return entities.join(rep, ["type", "name"], "left").select("id", F.coalesce("_rep", "id").alias("representative")).distinct()
 
 
-def similar_vectors_in_type(entities: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """``a, b, similarity``: entities of one type by cosine, among given candidate rows (small sets: all pairs of a type)."""
-    a = entities.select(F.col("id").alias("a"), F.col("vec").alias("va"), "type")
-    b = entities.select(F.col("id").alias("b"), F.col("vec").alias("vb"), "type")
-    return a.join(b, "type").where(F.col("a") < F.col("b")).withColumn("similarity", cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+#: Vectors that the others are grouped around to find similar ones.
+PIVOTS = 64
+
+
+def similar_vectors_in_type(entities: DataFrame, threshold: float = 0.9, pivots: int = PIVOTS) -> DataFrame:
+    """``a, b, similarity``: entities of one type by cosine, every pair at or above the threshold.
+
+    Each vector belongs to its nearest of a few pivots, and also comes as a guest to each pivot that is nearest to some
+    vector within the threshold's angle r of it: by the triangle inequality those are at most 2r further away. Within a
+    pivot only vectors meet whose angles to it differ by at most r. Vectors without direction are similar to none.
+    """
+    spark = entities.sparkSession
+    rows = entities.select("id", "type", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    rows = rows.where("id is not null and type is not null and vec is not null").withColumn("_n", norm(F.col("vec"))).where("_n > 0")
+    unit = Scratch(spark, "similar-vectors").write(rows.select("id", "type", F.transform("vec", lambda x: x / F.col("_n")).alias("vec")))
+    drawn = unit.select("vec").orderBy(F.xxhash64("vec")).limit(pivots)  # a bounded number of vectors
+    centres = np.array([r["vec"] for r in drawn.collect()], dtype=float)
+    angle = float(np.arccos(min(1.0, max(-1.0, threshold)))) + 1e-9
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, kind, v in zip(b["id"], b["type"], b["vec"]):
+                if len(v) != centres.shape[1]:
+                    continue
+                far = np.arccos(np.clip(centres @ np.asarray(v), -1, 1))
+                home = int(far.argmin())
+                for p in np.flatnonzero(far <= far[home] + 2 * angle):
+                    band = int(far[p] // angle)
+                    out.append((i, kind, v, int(p), band, float(far[p]), bool(p == home)))
+            yield pd.DataFrame(out, columns=["id", "type", "vec", "pivot", "band", "far", "home"])
+
+    id_type = dict(unit.dtypes)["id"]
+    placed = unit.mapInPandas(place, f"id {id_type}, type string, vec array<double>, pivot int, band int, far double, home boolean")
+    host = placed.where("home").select("type", "pivot", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("id").alias("h"), F.col("vec").alias("hv"), F.col("far").alias("hf"))
+    guest = placed.select("type", "pivot", "band", F.col("id").alias("g"), F.col("vec").alias("gv"), F.col("far").alias("gf"))
+    j = host.join(guest, ["type", "pivot", "band"]).where((F.col("h") != F.col("g")) & (F.abs(F.col("hf") - F.col("gf")) <= angle))
+    s = j.withColumn("similarity", cosine(F.col("hv"), F.col("gv"))).where(F.col("similarity") >= threshold)
+    pair = s.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b"), "similarity")
+    return pair.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def hybrid_pairs(entities: DataFrame, fuzzy: float = 0.7, threshold: float = 0.9) -> DataFrame:

@@ -182,7 +182,8 @@ def link_by_tiers(rows: DataFrame, targets: DataFrame, tiers: Sequence[Mapping[s
     out = None
     for n, pair in enumerate(tiers, 1):
         (a, b), = pair.items()
-        part = rows.select(F.col(key), F.col(a).alias("_a")).join(targets.select("id", F.col(b).alias("_b")), F.col("_a") == F.col("_b")).select(key, "id", F.lit(n).alias("tier"))
+        first = targets.groupBy(F.col(b).alias("_b")).agg(F.min("id").alias("id"))  # one row per value before the join
+        part = rows.select(F.col(key), F.col(a).alias("_a")).join(first, F.col("_a") == F.col("_b")).select(key, "id", F.lit(n).alias("tier"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy(key).agg(F.min(F.struct("tier", "id")).alias("m")).select(key, "m.id", "m.tier")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.semantics import cosine, text_similarity
+from weftgraph.session import Scratch
 
 K1, B = 1.2, 0.75
 # Weights of fields in full text, and of scope types in code search.
@@ -68,21 +69,26 @@ def postings(rows: DataFrame, fields: Mapping[str, str], id_col: str = "id") ->
 def bm25(rows: DataFrame, fields: Mapping[str, str], query: str, *, fuzzy: int = 0, id_col: str = "id", weights: Mapping[str, float] | None = None) -> DataFrame:
     """``id, score``: Okapi BM25 over weighted fields; every term of the query must match in some field.
 
-    A term matches an indexed one within ``fuzzy`` edits. Statistics cover all rows. Only postings of matching terms
-    are ever shuffled; documents without a match cost one scan.
+    A term matches an indexed one within ``fuzzy`` edits. Statistics cover all rows. Texts are read once; only counts of
+    matching terms are ever shuffled. A query without terms gives no row.
     """
     weights = weights or FIELD_WEIGHTS
     terms = [t for t in dict.fromkeys(w for w in re.split(r"[^\w]+", query.lower()) if w)]
-    per = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(float(weights.get(f, 1.0))).alias("w"), terms_of(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for f, c in fields.items()))
-    flat = rows.select(F.col(id_col).alias("id"), F.explode(per).alias("p")).select("id", "p.field", "p.w", "p.terms", F.size("p.terms").alias("len"))
+    if not terms:
+        return rows.limit(0).select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"))
+
+    def hits(field: str) -> Column:
+        words = terms_of(F.coalesce(F.col(fields[field]), F.lit("")))
+        same = lambda t: (lambda x: x == t) if not fuzzy else (lambda x: F.levenshtein(x, F.lit(t), fuzzy) >= 0)
+        counts = F.transform(F.array(words), lambda ws: F.struct(F.size(ws).alias("len"), F.array(*(F.size(F.filter(ws, same(t))) for t in terms)).alias("tf")))
+        return F.struct(F.lit(field).alias("field"), F.lit(float(weights.get(field, 1.0))).alias("w"), counts[0].alias("c"))
+
+    # texts are cut to words once: what is written has a length and a count per query term for each field
+    flat = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*(hits(f) for f in fields))).alias("p")).select("id", "p.field", "p.w", "p.c.len", "p.c.tf")
+    flat = Scratch(rows.sparkSession, "bm25").write(flat)
     stats = flat.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-
-    def hits(t: str) -> Column:
-        same = (lambda x: x == t) if not fuzzy else (lambda x: F.levenshtein(x, F.lit(t), fuzzy) >= 0)
-        return F.size(F.filter("terms", same))
-
-    counts = F.array(*(F.struct(F.lit(t).alias("term"), hits(t).alias("tf")) for t in terms))
-    tf = flat.select("id", "field", "w", "len", F.explode(counts).alias("c")).select("id", "field", "w", "len", "c.term", "c.tf").where("tf > 0")
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, terms)).alias("term"), F.col("tf")))
+    tf = flat.where(F.exists("tf", lambda x: x > 0)).select("id", "field", "w", "len", each.alias("c")).select("id", "field", "w", "len", "c.term", "c.tf").where("tf > 0")
     df_ = tf.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     # statistics have a row per field and per (field, query term)
     j = tf.join(F.broadcast(df_), ["field", "term"]).join(F.broadcast(stats), "field")

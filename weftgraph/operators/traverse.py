@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.semantics import text_similarity
+from weftgraph.operators.strings import similar_between
 
 
 def oriented(edges: DataFrame, direction: str, *keep: str) -> DataFrame:
@@ -82,7 +82,8 @@ def children_by_parent(parents: DataFrame, edges: DataFrame, limit: int | None =
 
 def reachable(roots: DataFrame, edges: DataFrame, depth: int, direction: str = "outgoing") -> DataFrame:
     """``root, node, depth``: nodes within ``depth`` edges with their least depth, by frontier: a node is expanded once."""
-    step = oriented(edges, direction).distinct()
+    # only edges of the frontier are ever made distinct, with the nodes they lead to
+    step = oriented(edges, direction)
     seen = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"))
     front = seen
     for d in range(1, depth + 1):
@@ -109,6 +110,18 @@ def dependency_hierarchy(roots: DataFrame, consumes: DataFrame, inherits: DataFr
     return out.distinct()
 
 
+def nearest_edges(front: DataFrame, edges: DataFrame, per_direction: int) -> DataFrame:
+    """``a, b, type, dir``: at most so many edges of each of ``front(node)`` and direction, by type, then neighbour.
+
+    Edges are first reduced to those of the frontier; the limit of a hub is applied before the shuffle as well.
+    """
+    own = front.select(F.col("node").alias("_f")).distinct()
+    part = lambda direction, name: oriented(edges, direction, "type").join(own, F.col("a") == F.col("_f"), "left_semi").withColumn("dir", F.lit(name))
+    both = part("outgoing", "out").unionByName(part("incoming", "in")).distinct()
+    w = W.partitionBy("a", "dir").orderBy("type", "b")
+    return both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_direction).drop("_r")
+
+
 def explore(hits: DataFrame, edges: DataFrame, depth: int = 1, max_roots: int = 10, per_direction: int = 15) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges around the best ``hits(id, score)``: breadth-first, depth 1 to 3, at most ``per_direction`` edges of
     each node and direction (by type, then neighbour). Nodes come once, hits first; edges once by source, target, type.
@@ -117,14 +130,10 @@ def explore(hits: DataFrame, edges: DataFrame, depth: int = 1, max_roots: int =
     """
     depth = min(max(depth, 1), 3)
     roots = hits.orderBy(F.col("score").desc(), "id").limit(max_roots)
-    out_e = oriented(edges, "outgoing", "type").withColumn("dir", F.lit("out"))
-    both = out_e.unionByName(oriented(edges, "incoming", "type").withColumn("dir", F.lit("in"))).distinct()
-    w = W.partitionBy("a", "dir").orderBy("type", "b")
-    both = both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_direction).drop("_r")
     seen = roots.select(F.col("id").alias("node"), F.lit(0).alias("depth"))
     front, used = seen, None
     for d in range(1, depth + 1):
-        step = front.select("node").join(both, front["node"] == both["a"])
+        step = nearest_edges(front.select("node"), edges, per_direction)
         found = step.select(
             F.when(F.col("dir") == "out", F.col("a")).otherwise(F.col("b")).alias("src"),
             F.when(F.col("dir") == "out", F.col("b")).otherwise(F.col("a")).alias("dst"), "type",
@@ -139,14 +148,13 @@ def explore(hits: DataFrame, edges: DataFrame, depth: int = 1, max_roots: int =
 
 def neighbours_by_relation(node_id: str | int, edges: DataFrame, depth: int = 1, limit: int = 20) -> DataFrame:
     """``key, node, depth``: the neighbourhood of one node grouped by ``TYPE`` or ``TYPE_BY``; half the limit below depth 1."""
-    both = oriented(edges, "outgoing", "type").withColumn("key", F.col("type")).unionByName(
-        oriented(edges, "incoming", "type").withColumn("key", F.concat("type", F.lit("_BY")))
-    ).distinct()
     front = edges.sparkSession.createDataFrame([(node_id,)], edges.select("src").toDF("node").schema)
     out = None
     for d in range(1, min(max(depth, 1), 3) + 1):
         n = limit if d == 1 else limit // 2
-        step = front.join(both, front["node"] == both["a"])
+        own = front.select(F.col("node").alias("_f"))
+        sides = [oriented(edges, way, "type").join(own, F.col("a") == F.col("_f"), "left_semi").withColumn("key", key) for way, key in (("outgoing", F.col("type")), ("incoming", F.concat("type", F.lit("_BY"))))]
+        step = sides[0].unionByName(sides[1]).distinct()
         step = step.withColumn("_r", F.row_number().over(W.partitionBy("a", "key").orderBy("b"))).where(F.col("_r") <= n)
         part = step.select("key", F.col("b").alias("node"), F.lit(d).alias("depth")).distinct()
         out = part if out is None else out.unionByName(part)
@@ -164,18 +172,18 @@ def path_ancestors(path: Column) -> Column:
 def resolve_pending(pending: DataFrame, files: DataFrame) -> DataFrame:
     """``src, target, type`` with ``dst``: pending references whose target equals a file's ``file`` or its ``path``.
 
-    Two equi-joins and a union instead of one with OR, which could only run as a nested loop; the smallest id wins.
+    An equi-join with either spelling instead of a condition with OR, which could only run as a nested loop; the smallest id wins.
     """
-    by = lambda c: pending.join(files.select("id", F.col(c).alias("target")), "target")
-    return by("file").unionByName(by("path")).groupBy("src", "target", "type").agg(F.min("id").alias("dst"))
+    # one row per target before the join, so a name that many files share multiplies nothing
+    both = files.select("id", F.explode(F.array("file", "path")).alias("target")).where("target is not null")
+    return pending.select("src", "target", "type").distinct().join(both.groupBy("target").agg(F.min("id").alias("dst")), "target").select("src", "target", "type", "dst")
 
 
 def fuzzy_file_match(refs: DataFrame, files: DataFrame, minimum: float = 0.7) -> DataFrame:
     """``ref, path, tier, score``: the best file for each loose reference.
 
     Tiers: the path ends with the reference (1.0), its file name is unique (0.95) or not (0.7), or names of the same
-    extension, then of any (times 0.9), are similar enough. Similar names are compared within blocks of equal length
-    classes only, which loses no pair at the given minimum.
+    extension, then of any (times 0.9), are similar enough. Distinct names meet by equal segments (``strings``).
     """
     name = lambda c: F.element_at(F.split(c, "/"), -1)
     ext = lambda c: F.regexp_extract(c, r"\.(\w+)$", 1)
@@ -189,12 +197,13 @@ def fuzzy_file_match(refs: DataFrame, files: DataFrame, minimum: float = 0.7) ->
         F.when(suffix, 1.0).when(F.col("n") == 1, 0.95).otherwise(0.7).alias("score"),
     )
     left = r.join(exact.select("ref").distinct(), "ref", "left_anti")
-    # |a - b| <= floor(max * (1 - minimum)), so lengths that fit lie within a known range
-    lengths = F.sequence(F.ceil(F.length("rname") * F.lit(minimum) - 1e-9), F.floor(F.length("rname") / F.lit(minimum) + 1e-9))
-    near = left.withColumn("len", F.explode(lengths)).join(f.withColumn("len", F.length("fname").cast("bigint")), "len")
-    sim = text_similarity(F.col("rname"), F.col("fname"))
+    names = f.select("fname").distinct()
+    near = similar_between(left.select("rname").distinct(), names, minimum, left_id="rname", left_text="rname", right_id="fname", right_text="fname")
+    near = near.select(F.col("l").alias("rname"), F.col("r").alias("fname"), F.col("similarity").alias("sim"))
     same = ext(F.col("rname")) == ext(F.col("fname"))
-    fuzzy = near.where(sim >= minimum).select("ref", "path", F.when(same, 4).otherwise(5).alias("tier"), F.when(same, sim).otherwise(sim * 0.9).alias("score"))
+    fuzzy = left.join(near, "rname").join(f, "fname").select(
+        "ref", "path", F.when(same, 4).otherwise(5).alias("tier"), F.when(same, F.col("sim")).otherwise(F.col("sim") * 0.9).alias("score")
+    )
     best = F.row_number().over(W.partitionBy("ref").orderBy("tier", F.col("score").desc(), F.length("path"), "path"))
     return tiered.unionByName(fuzzy).where(F.col("score") >= minimum).withColumn("_r", best).where("_r = 1").drop("_r")
 

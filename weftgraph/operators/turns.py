@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.operators.segments import running_sums
+
 
 def turns(messages: DataFrame) -> DataFrame:
     """``conversation_id, turn_no, user_text, assistant_text, n_tool_calls, ts``.
@@ -16,8 +18,7 @@ def turns(messages: DataFrame) -> DataFrame:
     """
     have = messages.columns
     m = messages.where(F.col("role") != "system")
-    w = W.partitionBy("conversation_id").orderBy("place")
-    m = m.withColumn("turn_no", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w)).where("turn_no > 0")
+    m = running_sums(m, ["conversation_id"], ["place"], {"turn_no": F.when(F.col("role") == "user", 1).otherwise(0)}).where("turn_no > 0")
     other = F.col("role") != "user"
     said = other & F.col("content").rlike(r"[^\s\p{Z}]")
     text = F.concat("content", F.when(F.length("reasoning") > 0, F.concat(F.lit("\n\nReasoning: "), "reasoning")).otherwise("")) if "reasoning" in have else F.col("content")
@@ -33,34 +34,41 @@ def turns(messages: DataFrame) -> DataFrame:
 
 
 def within_budget(messages: DataFrame, size: str, budget: int, key: str = "conversation_id", place: str = "place") -> DataFrame:
-    """The newest rows whose running size stays within the budget: a strict prefix from the newest backwards."""
-    w = W.partitionBy(key).orderBy(F.col(place).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return messages.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= budget)
+    """The newest rows whose running size stays within the budget: a strict prefix from the newest backwards.
+
+    What is newer than a row is its group's total without what comes up to it.
+    """
+    upto = running_sums(messages, [key], [place], {"_upto": F.col(size)})
+    total = messages.groupBy(F.col(key).alias("_k")).agg(F.coalesce(F.sum(size), F.lit(0)).alias("_total"))
+    got = upto.join(total, F.col(key).eqNullSafe(F.col("_k")))
+    running = F.col("_total") - F.col("_upto") + F.coalesce(F.col(size), F.lit(0))
+    return got.select(*messages.columns, running.alias("running")).where(F.col("running") <= budget)
 
 
 def last_n(messages: DataFrame, n: int, key: str = "conversation_id", place: str = "place") -> DataFrame:
-    """The newest n rows per conversation, oldest first by ``position``."""
+    """The newest n rows per conversation, oldest first by ``position``. The limit is applied before the shuffle as well."""
     w = W.partitionBy(key).orderBy(F.col(place).desc())
     got = messages.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    # at most n rows a conversation are left
     return got.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy(place))).drop("_r")
 
 
 def char_offsets(messages: DataFrame, size: str, key: str = "conversation_id", place: str = "place") -> DataFrame:
     """Rows with ``start_char`` and ``end_char``, cumulative within the conversation."""
-    w = W.partitionBy(key).orderBy(place).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return messages.withColumn("end_char", F.sum(size).over(w)).withColumn("start_char", F.col("end_char") - F.col(size))
+    got = running_sums(messages, [key], [place], {"end_char": F.col(size)})
+    return got.withColumn("start_char", F.col("end_char") - F.col(size))
 
 
 def summary_due(messages: DataFrame, summarised: DataFrame, size: str, max_context: int = 100_000, key: str = "conversation_id", place: str = "place") -> DataFrame:
     """``conversation_id, start_char, end_char, n_messages, chars`` of conversations whose unsummarised part reached a tenth of the context.
 
-    ``summarised`` has the last covered offset as ``upto``. Rows are collected until the range reaches the threshold.
+    ``summarised`` has the last covered offset as ``upto``. Rows are collected until the range reaches the threshold:
+    what lies before a row of the open part is its offset without that of the part's first row.
     """
     limit = max_context // 10
     m = char_offsets(messages, size, key, place).join(summarised.select(key, "upto"), key, "left").where(F.col("end_char") > F.coalesce("upto", F.lit(0)))
-    w = W.partitionBy(key).orderBy(place)
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    part = m.withColumn("_b", before).where(F.col("_b") < limit)
+    first = m.groupBy(F.col(key).alias("_k")).agg(F.min("start_char").alias("_from"))
+    part = m.join(first, F.col(key) == F.col("_k")).where(F.col("start_char") - F.col("_from") < limit)
     return part.groupBy(key).agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), F.count(F.lit(1)).alias("n_messages"), F.sum(size).alias("chars")).where(F.col("chars") >= limit)
 
 

@@ -69,7 +69,7 @@ class Pipeline:
             hits = vector_topk(base, F.array(*(F.lit(float(v)) for v in query)), top_k, minimum, id_col=p.key, vec_col=vec)
             hits = hits.select(F.col("id").alias("_id"), F.col("score").alias("_s"))
             new = F.col("_s") if df is None else 0.3 * F.col("score") + 0.7 * F.col("_s")
-            return base.join(F.broadcast(hits) if top_k <= 10_000 else hits, base[p.key] == hits["_id"]).withColumn("score", new).drop("_id", "_s")
+            return base.join(hits, base[p.key] == hits["_id"]).withColumn("score", new).drop("_id", "_s")
 
         return self._with("semantic", run)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.ranges import containing_ranges
 from weftgraph.functions.patterns import all_of, compile_filter, glob_field, glob_names, glob_path, glob_unanchored, predicate, project_scope, url_allowed
 from weftgraph.model import Catalog, Entity, Relationship, missing_required, schema_fingerprint
 from weftgraph.operators import aggregate as A
@@ -169,7 +170,7 @@ SELECT ref_id, uuid FROM (
 def _(t: Tables) -> DataFrame:
     r = t.extracted_refs.select("ref_id", "source_path", "ref_line").distinct()
     n = t.nodes.where("node_label = 'Scope'").select("uuid", "source_path", "start_line", "end_line").distinct()
-    j = r.join(n, "source_path").where(F.col("ref_line").between(F.col("start_line"), F.col("end_line")))
+    j = containing_ranges(r, n, "source_path", "ref_line", "start_line", "end_line")
     return j.groupBy("ref_id").agg(F.min_by("uuid", F.struct(F.col("end_line") - F.col("start_line"), "uuid")).alias("uuid"))
 
 
