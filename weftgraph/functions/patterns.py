@@ -190,6 +190,11 @@ def compile_filter(where: Mapping[str, Any]) -> Column:
     return all_of(parts)
 
 
+def any_label(labels: Column, allowed: Sequence[str]) -> Column:
+    """Whether a row has one of the labels; a row without labels has none."""
+    return F.coalesce(F.arrays_overlap(labels, F.array(*map(F.lit, allowed)).cast("array<string>")), F.lit(False))
+
+
 def all_of(parts: Sequence[Column]) -> Column:
     return reduce(and_, parts, F.lit(True))
 

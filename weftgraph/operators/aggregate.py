@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions.patterns import all_of, predicate
@@ -113,3 +114,15 @@ def counts_by_label(tables: Mapping[str, DataFrame]) -> DataFrame:
         part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("label"), "n")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def members_by(rows: DataFrame, by: Sequence[str], member: str, limit: int = 100) -> DataFrame:
+    """Groups with ``n``, their distinct members' number, and ``members``, the first ``limit`` of these in order.
+
+    The limit is applied before the shuffle as well, so no list grows with its group.
+    """
+    distinct = rows.select(*by, F.col(member).alias("_m")).where("_m is not null").distinct()
+    sizes = distinct.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    first = distinct.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("_m"))).where(F.col("_r") <= limit)
+    lists = first.groupBy(*by).agg(F.array_sort(F.collect_list("_m")).alias("members"))
+    return sizes.join(lists, list(by))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.text import entity_id, entity_key
+from weftgraph.functions.text import entity_id, entity_key, relation_type
 from weftgraph.operators.strings import similar_pairs
 from weftgraph.semantics import cosine, norm
 from weftgraph.session import Scratch
@@ -112,3 +112,62 @@ def mention_graph(occurrences: DataFrame, minimum: float = 0.5) -> tuple[DataFra
     o = occurrences.where(F.coalesce("confidence", F.lit(1.0)) >= minimum).withColumn("key", entity_key(F.col("type"), F.col("name"))).withColumn("id", entity_id(F.col("type"), F.col("name")))
     nodes = o.groupBy("id").agg(F.min("key").alias("key"), F.min(F.trim("name")).alias("name"), F.min("type").alias("type"), F.count(F.lit(1)).alias("n_mentions"), F.count_distinct("doc_id").alias("n_documents"))
     return nodes, o.select(F.col("doc_id").alias("src"), F.col("id").alias("dst"))
+
+
+def entity_relations(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """``src, dst, type``: relations (``subject, object, predicate``) between entities (``id, name``), each once.
+
+    A name means the entity of that normalised name (ties: the smallest id), else the smallest of those whose name
+    contains it or is contained in it. Names inside others are found by equal runs of words, so no pair of all with all
+    is made: a name that only shares a part of a word with another is not inside it.
+    """
+    clean = lambda c: F.lower(F.trim(c))
+    e = entities.select("id", clean(F.col("name")).alias("name")).where("id is not null and name <> ''")
+    exact = e.groupBy("name").agg(F.min("id").alias("id"))
+    asked = relations.select(F.explode(F.array("subject", "object")).alias("n")).select(clean(F.col("n")).alias("name")).where("name <> ''").distinct()
+    direct = asked.join(exact, "name")
+    open_ = asked.join(exact.select("name"), "name", "left_anti")
+    inner = F.explode(_runs(F.col("name"))).alias("run")
+    longer = exact.select("id", inner).groupBy("run").agg(F.min("id").alias("id")).join(open_, F.col("run") == F.col("name")).select("name", "id")
+    shorter = open_.select("name", inner).join(exact.select(F.col("name").alias("run"), "id"), "run").select("name", "id")
+    loose = longer.unionByName(shorter).groupBy("name").agg(F.min("id").alias("id"))
+    names = direct.unionByName(loose)
+    a = names.select(F.col("name").alias("_s"), F.col("id").alias("src"))
+    b = names.select(F.col("name").alias("_o"), F.col("id").alias("dst"))
+    j = relations.join(a, clean(F.col("subject")) == F.col("_s")).join(b, clean(F.col("object")) == F.col("_o"))
+    return j.select("src", "dst", relation_type(F.col("predicate")).alias("type")).distinct()
+
+
+def _runs(name: Column) -> Column:
+    """All runs of neighbouring words of a text."""
+    words = F.split(name, r"\s+")
+    n = F.size(words)
+    starts = F.sequence(F.lit(1), n)
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(words, i, k), " ")))))
+
+
+def deduplicated(
+    entities: DataFrame, strategy: str = "fuzzy", *, excluded: Sequence[str] = (), embed: Callable[[Column], Column] | None = None, resolve: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """``id, canonical`` of every entity, itself where none stands for it: by names (``fuzzy``), vectors (``embedding``),
+    both (``hybrid``) or what ``resolve`` says of the similar names (``judge``).
+
+    ``embed`` makes the vectors from the names where the rows have none; ``resolve`` gets pairs (``a, b, similarity``)
+    and returns those to merge. Entities of excluded types stand for themselves. Chains are followed one step.
+    """
+    kept = entities.where(~F.coalesce(F.col("type").isin(list(excluded)), F.lit(False))) if excluded else entities
+    if strategy in ("embedding", "hybrid") and "vec" not in kept.columns:
+        if embed is None:
+            raise ValueError(f"the strategy {strategy} needs vectors or a function that makes them")
+        kept = kept.withColumn("vec", embed(F.col("name")))
+    if strategy == "fuzzy":
+        best = canonical_of_members(kept)
+    elif strategy == "embedding":
+        best = canonical_of_pairs(kept, similar_vectors_in_type(kept))
+    elif strategy == "hybrid":
+        best = canonical_of_pairs(kept, hybrid_pairs(kept))
+    elif strategy == "judge" and resolve is not None:
+        best = canonical_of_pairs(kept, resolve(similar_names(kept)))
+    else:
+        raise ValueError(f"unknown strategy: {strategy}")
+    return entities.select("id").distinct().join(best, "id", "left").select("id", F.coalesce("canonical", "id").alias("canonical"))

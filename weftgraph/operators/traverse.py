@@ -66,6 +66,13 @@ def with_related(rows: DataFrame, key: str, paths: DataFrame) -> DataFrame:
     return got.withColumn("related", F.coalesce("related", empty))
 
 
+def collect_related(rows: DataFrame, key: str, edges: DataFrame, out: str = "related") -> DataFrame:
+    """Rows with the sorted distinct targets of their outgoing edges, empty where there is none."""
+    lists = oriented(edges, "outgoing").groupBy("a").agg(F.array_sort(F.collect_set("b")).alias(out))
+    got = rows.join(lists, rows[key] == lists["a"], "left").drop("a")
+    return got.withColumn(out, F.coalesce(out, F.array().cast(dict((f.name, f.dataType) for f in got.schema.fields)[out])))
+
+
 def enrich_names(rows: DataFrame, key: str, edges: DataFrame, names: DataFrame, out: str, direction: str = "outgoing") -> DataFrame:
     """Rows with the sorted distinct names of their neighbours: aggregated before the join, so relations do not multiply."""
     e = oriented(edges, direction)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.patterns import compile_filter, predicate
 from weftgraph.model import Catalog
-from weftgraph.operators.traverse import one_hop
+from weftgraph.operators.traverse import one_hop, related_to
 from weftgraph.semantics import asc, desc, page
 
 
@@ -27,6 +27,8 @@ class QueryPlan:
     take: int | None = None
     skip: int | None = None
     target: bool = False
+    near: tuple[tuple[str, str, Any], ...] = ()
+    clauses: tuple[tuple[str, dict], ...] = ()
 
     def where(self, field: str | Mapping[str, Any], op: str = "=", value: Any = None) -> QueryPlan:
         if isinstance(field, Mapping):
@@ -42,6 +44,20 @@ class QueryPlan:
     def filter(self, fn: Callable[[DataFrame], Column]) -> QueryPlan:
         return replace(self, predicates=(*self.predicates, fn))
 
+    def raw(self, clause: str, **params: Any) -> QueryPlan:
+        """A condition in SQL with named parameters (``:name``), which are bound, never spliced."""
+        return replace(self, clauses=(*self.clauses, (clause, params)))
+
+    def related_to(self, relationship: str, name: Any, direction: str = "outgoing") -> QueryPlan:
+        """Rows with an edge to an entity of that display name: a semi-join, so no row is repeated."""
+        return replace(self, near=(*self.near, (relationship, direction, name)))
+
+    def consumes(self, name: Any, relationship: str = "CONSUMES") -> QueryPlan:
+        return self.related_to(relationship, name)
+
+    def consumed_by(self, name: Any, relationship: str = "CONSUMES") -> QueryPlan:
+        return self.related_to(relationship, name, "incoming")
+
     def related(self, name: str, direction: str = "outgoing", target: str | None = None) -> QueryPlan:
         return replace(self, hops=(*self.hops, (name, direction, target)))
 
@@ -68,6 +84,13 @@ class QueryPlan:
             df = df.where(self.catalog.filters[name](**params))
         for fn in self.predicates:
             df = df.where(fn(df))
+        for clause, params in self.clauses:
+            df = df.sparkSession.sql(f"SELECT * FROM {{rows}} WHERE {clause}", args=params or None, rows=df)
+        for name, direction, wanted in self.near:
+            r = self.catalog.relationships[name]
+            other = self.catalog.entity(r.target if direction == "outgoing" else r.source)
+            anchors = other.with_computed().where(F.col(other.display or other.key) == wanted).select(F.col(other.key).alias("id"))
+            df = related_to(df, e.key, r.edges, anchors, direction)
         if self.hops:
             start, at = df.withColumn("_at", F.col(e.key)), self.entity
             for name, direction, target in self.hops:
@@ -93,6 +116,7 @@ class QueryPlan:
         """The plan as a sentence; ``compile().explain()`` has Spark's."""
         parts = [f"get {self.entity}"]
         parts += [f"where {f} {op} {v!r}" for f, op, v in self.conditions] + [f"filter {n}" for n, _ in self.filters]
+        parts += [f"with {n} {d} {v!r}" for n, d, v in self.near] + [f"where {c}" for c, _ in self.clauses]
         parts += [f"follow {n} {d}" + (f" to {t}" if t else "") for n, d, t in self.hops]
         parts += [f"order by {f} {'ascending' if up else 'descending'}" for f, up in self.orders]
         parts += [f"skip {self.skip}"] if self.skip else []

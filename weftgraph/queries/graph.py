@@ -94,17 +94,19 @@ def _(t: Tables) -> DataFrame:
     return T.reachable(tops, e, 3)
 
 
-@R.add("hierarchy_union", """WITH e AS (SELECT DISTINCT p_partkey, l_suppkey FROM part JOIN lineitem ON l_partkey = p_partkey),
- i AS (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS n FROM customer)
- SELECT CAST(n_nationkey AS BIGINT) AS root, c_custkey AS node, 1 AS depth, 'INHERITED_BY' AS relation FROM nation JOIN i ON i.n = n_nationkey WHERE c_custkey <> n_nationkey
- UNION SELECT CAST(n_nationkey AS BIGINT), l_suppkey, 1, 'CONSUMES' FROM nation JOIN e ON e.p_partkey = n_nationkey WHERE l_suppkey <> n_nationkey
- UNION SELECT CAST(n_nationkey AS BIGINT), p_partkey, 1, 'CONSUMED_BY' FROM nation JOIN e ON e.l_suppkey = n_nationkey WHERE p_partkey <> n_nationkey
- UNION SELECT CAST(n_nationkey AS BIGINT), i.n, 1, 'INHERITS_FROM' FROM nation JOIN i ON i.c_custkey = n_nationkey WHERE i.n <> n_nationkey""")
+_HU = """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS src, l_suppkey AS dst FROM part JOIN lineitem ON l_partkey = p_partkey),
+ i AS (SELECT c_custkey AS src, CAST(c_nationkey AS BIGINT) AS dst FROM customer),
+ s AS (SELECT 'CONSUMES' AS relation, src AS a, dst AS b FROM e UNION ALL SELECT 'CONSUMED_BY', dst, src FROM e UNION ALL SELECT 'INHERITS_FROM', src, dst FROM i UNION ALL SELECT 'INHERITED_BY', dst, src FROM i),
+ w(relation, root, node, depth) AS (SELECT DISTINCT relation, CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), 0 FROM nation, (SELECT DISTINCT relation FROM s)
+  UNION SELECT w.relation, w.root, s.b, w.depth + 1 FROM w JOIN s ON s.relation = w.relation AND s.a = w.node WHERE w.depth < {depth})
+ SELECT root, node, min(depth) AS depth, relation FROM w GROUP BY relation, root, node HAVING min(depth) > 0"""
+
+
+@R.add("hierarchy_union", _HU.format(depth=2))
 def _(t: Tables) -> DataFrame:
     c = shop(t)
     roots = t.nation.select(F.col("n_nationkey").cast("long").alias("id"))
-    h = T.dependency_hierarchy(roots, c.relationships["SUPPLIED_BY"].edges, c.relationships["IN_NATION"].edges, 1)
-    return h
+    return T.dependency_hierarchy(roots, c.relationships["SUPPLIED_BY"].edges, c.relationships["IN_NATION"].edges, 2)
 
 
 @R.add("bfs_explore_nodes", _FO + """, hits AS (SELECT user_id AS id, sum(value) AS score FROM events GROUP BY 1),
@@ -119,22 +121,27 @@ def _(t: Tables) -> DataFrame:
     return T.explore(hits, follows(t), depth=2)[0].select("node", "depth")
 
 
-@R.add("bfs_explore_edges", _FO + """, hits AS (SELECT user_id AS id, sum(value) AS score FROM events GROUP BY 1),
+_BFS = _FO + """, hits AS (SELECT user_id AS id, sum(value) AS score FROM events GROUP BY 1),
  roots AS (SELECT id FROM hits ORDER BY score DESC, id LIMIT 10),
  b AS (SELECT a, b, type, dir FROM (SELECT *, row_number() OVER (PARTITION BY a, dir ORDER BY type, b) AS rn FROM (
-   SELECT src AS a, dst AS b, type, 'out' AS dir FROM f UNION ALL SELECT dst, src, type, 'in' FROM f)) WHERE rn <= 15)
- SELECT DISTINCT CASE WHEN dir = 'out' THEN a ELSE b END AS src, CASE WHEN dir = 'out' THEN b ELSE a END AS dst, type FROM roots JOIN b ON b.a = roots.id""")
+   SELECT src AS a, dst AS b, type, 'out' AS dir FROM f UNION ALL SELECT dst, src, type, 'in' FROM f)) WHERE rn <= 15),
+ l1 AS (SELECT DISTINCT b AS node FROM roots JOIN b ON b.a = roots.id WHERE b NOT IN (SELECT id FROM roots))"""
+
+
+@R.add("bfs_explore_edges", _BFS + """ SELECT DISTINCT CASE WHEN dir = 'out' THEN a ELSE b END AS src, CASE WHEN dir = 'out' THEN b ELSE a END AS dst, type
+ FROM (SELECT id FROM roots UNION SELECT node FROM l1) x JOIN b ON b.a = x.id""")
 def _(t: Tables) -> DataFrame:
     hits = t.events.groupBy(F.col("user_id").alias("id")).agg(F.sum("value").alias("score"))
-    return T.explore(hits, follows(t), depth=1)[1]
+    return T.explore(hits, follows(t), depth=2)[1]
 
 
-@R.add("explore_one_node", _FO + """, u AS (SELECT min(user_id) AS id FROM events) SELECT type AS key, dst AS node, 1 AS depth FROM (
- SELECT *, row_number() OVER (PARTITION BY type ORDER BY dst) AS rn FROM f WHERE src = (SELECT id FROM u)) WHERE rn <= 20
- UNION ALL SELECT type || '_BY', src, 1 FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY src) AS rn FROM f WHERE dst = (SELECT id FROM u)) WHERE rn <= 20""")
+@R.add("explore_one_node", _FO + """, s AS (SELECT src AS a, dst AS b, type AS key FROM f UNION SELECT dst, src, type || '_BY' FROM f),
+ l1 AS (SELECT key, b FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY b) AS rn FROM s WHERE a = (SELECT min(user_id) FROM events)) WHERE rn <= 20),
+ l2 AS (SELECT DISTINCT key, b FROM (SELECT s.*, row_number() OVER (PARTITION BY s.a, s.key ORDER BY s.b) AS rn FROM s WHERE a IN (SELECT b FROM l1)) WHERE rn <= 10)
+ SELECT key, node, min(depth) AS depth FROM (SELECT key, b AS node, 1 AS depth FROM l1 UNION ALL SELECT key, b, 2 FROM l2) GROUP BY 1, 2""")
 def _(t: Tables) -> DataFrame:
     first = t.events.agg(F.min("user_id")).head()[0]
-    return T.neighbours_by_relation(first, follows(t), 1, 20)
+    return T.neighbours_by_relation(first, follows(t), 2, 20)
 
 
 @R.add("ancestor_paths", r"""SELECT DISTINCT source_path, d.path AS ancestor FROM (SELECT DISTINCT source_path FROM source_files) s,
@@ -158,6 +165,19 @@ def _(t: Tables) -> DataFrame:
     return E.project_of_path(t.source_files.select(F.col("source_path").alias("path")), p, longest=True)
 
 
+@R.add("project_of_path_accessed", """SELECT path, max_by(project_id, (created_at, length(root), project_id)) AS project_id FROM (SELECT DISTINCT source_path AS path FROM source_files) f
+ JOIN (SELECT project_id, root_path AS root, created_at FROM projects) p ON path = root OR starts_with(path, root || '/') GROUP BY 1""")
+def _(t: Tables) -> DataFrame:
+    p = t.projects.select("project_id", "root_path", F.col("created_at").alias("last_accessed"))
+    return E.project_of_path(t.source_files.select(F.col("source_path").alias("path")), p)
+
+
+@R.add("collect_related", "SELECT c_custkey, coalesce(list_sort(list(DISTINCT o_orderkey) FILTER (o_orderkey IS NOT NULL)), []) AS related FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    placed = t.orders.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    return T.collect_related(t.customer, "c_custkey", placed).select("c_custkey", "related")
+
+
 @R.add("resolve_pending_refs", """SELECT src, target, 'PENDING_IMPORT' AS type, min(id) AS dst FROM (
  SELECT DISTINCT r.ref_id AS src, r.ref_source AS target, n.id FROM extracted_refs r JOIN (
   SELECT uuid AS id, node_name AS k FROM nodes WHERE node_label LIKE '%File' UNION SELECT uuid, source_path FROM nodes WHERE node_label LIKE '%File') n ON n.k = regexp_replace(r.ref_source, '^.*/', '') OR n.k = r.ref_source) GROUP BY 1, 2""")

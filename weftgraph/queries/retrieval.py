@@ -212,13 +212,13 @@ def _(t: Tables) -> DataFrame:
     return g.groupBy(F.col("id.file_lang").alias("file_lang")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_FW = """w AS (SELECT DISTINCT doc_id AS id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\w]+'), lambda x: length(x) >= 3))) AS word FROM documents),
- s AS (SELECT id, word, k.k AS keyword, CASE WHEN word = k.k THEN 1.0 ELSE 1 - levenshtein(word, k.k)::DOUBLE / greatest(length(word), length(k.k)) END AS s FROM w, (VALUES ('tokenizer'), ('schema')) k(k) WHERE regexp_full_match(word, '[a-z0-9_]+'))"""
+_FW = """w AS (SELECT DISTINCT doc_id AS id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9_]+'), lambda x: length(x) >= 3))) AS word FROM documents),
+ s AS (SELECT id, word, k.k AS keyword, CASE WHEN word = k.k THEN 1.0 ELSE 1 - levenshtein(word, k.k)::DOUBLE / greatest(length(word), length(k.k)) END AS s FROM w, (VALUES ('tokenizer'), ('schema')) k(k))"""
 
 
 @R.add("fuzzy_words", f"WITH {_FW} SELECT id, word, max_by(keyword, (s, keyword)) AS keyword, round(max(s), 2) AS similarity FROM s WHERE s >= 0.7 GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    return V.fuzzy_words(t.documents, ["tokenizer", "schema"], id_col="doc_id", limit=None).where(F.col("word").rlike("^[a-z0-9_]+$"))
+    return V.fuzzy_words(t.documents, ["tokenizer", "schema"], id_col="doc_id", limit=None)
 
 
 @R.add("fuzzy_words_all", f"WITH {_FW}, b AS (SELECT id, word, max_by(keyword, (s, keyword)) AS keyword FROM s WHERE s >= 0.7 GROUP BY 1, 2) SELECT DISTINCT id FROM b GROUP BY id HAVING count(DISTINCT keyword) = 2")

@@ -13,7 +13,7 @@ from weftgraph.operators.etl import line_diff
 from weftgraph.plans.providers import EchoGenerator, HashingEmbedder, embed_column, generate
 from weftgraph.queries.registry import Registry, Tables
 from weftgraph.session import shared_dir
-from weftgraph.sources.files import code_scopes, data_file_references, data_file_sections, globbed, parser_name
+from weftgraph.sources.files import SCOPES, code_scopes, data_file_references, data_file_sections, globbed, parser_name
 from weftgraph.streaming import changes as S
 
 R = Registry()
@@ -46,15 +46,15 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.collapse_blanks(F.col("text")).alias("clean"))
 
 
-@R.add("preprocess_chain", r"""SELECT file_uuid, recorded_at, trim(regexp_replace(regexp_replace(regexp_replace(file_content, '/\*.*?\*/', '', 'gs'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[ \t\n\v\f\r]+', ' ', 'g')) AS clean FROM source_files WHERE file_lang = 'css'""")
+@R.add("preprocess_chain", r"""SELECT file_uuid, recorded_at, trim(regexp_replace(regexp_replace(regexp_replace(file_content, '/\*.*?\*/', '', 'gs'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[ \t\n\v\f\r]+', ' ', 'g')) AS clean FROM source_files""")
 def _(t: Tables) -> DataFrame:
     block = lambda c: F.regexp_replace(c, r"(?s)/\*.*?\*/", "")
-    return t.source_files.where("file_lang = 'css'").select("file_uuid", "recorded_at", X.preprocess(F.col("file_content"), [block, X.split_camel_case, X.collapse_blanks]).alias("clean"))
+    return t.source_files.select("file_uuid", "recorded_at", X.preprocess(F.col("file_content"), [block, X.split_camel_case, X.collapse_blanks]).alias("clean"))
 
 
-@R.add("preprocess_comments", r"""SELECT file_uuid, recorded_at, trim(regexp_replace(regexp_replace(file_content, '/\*.*?\*/', '', 'gs'), '(?m)(^|\s)//[^\n\r]*', '', 'g')) AS clean FROM source_files WHERE file_lang IN ('ts', 'js')""")
+@R.add("preprocess_comments", r"""SELECT file_uuid, recorded_at, trim(regexp_replace(regexp_replace(file_content, '/\*.*?\*/', '', 'gs'), '(?m)(^|\s)//[^\n\r]*', '', 'g')) AS clean FROM source_files""")
 def _(t: Tables) -> DataFrame:
-    return t.source_files.where("file_lang in ('ts', 'js')").select("file_uuid", "recorded_at", X.strip_comments(F.col("file_content")).alias("clean"))
+    return t.source_files.select("file_uuid", "recorded_at", X.strip_comments(F.col("file_content")).alias("clean"))
 
 
 @R.add("slugify", r"SELECT DISTINCT node_name, regexp_replace(regexp_replace(lower(trim(node_name)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM nodes WHERE node_name IS NOT NULL")
@@ -82,9 +82,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @R.add("infer_types", r"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN lower(trim(v)) IN ('true', 'false') THEN 'boolean' WHEN regexp_full_match(trim(v), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') THEN 'number' ELSE 'string' END AS kind
- FROM (SELECT regexp_extract(line, '^[\w.]+=(.+)$', 1) AS v FROM (SELECT unnest(string_split(replace(file_content, chr(13), ''), chr(10))) AS line FROM source_files WHERE file_lang = 'env') WHERE regexp_matches(line, '^[\w.]+=.+$'))) GROUP BY 1""")
+ FROM (SELECT regexp_extract(line, '^[\w.]+=(.+)$', 1) AS v FROM (SELECT unnest(string_split(replace(file_content, chr(13), ''), chr(10))) AS line FROM source_files) WHERE regexp_matches(line, '^[\w.]+=.+$'))) GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    line = t.source_files.where("file_lang = 'env'").select(F.explode(F.split(F.replace("file_content", F.lit("\r"), F.lit("")), "\n", -1)).alias("line")).where(F.col("line").rlike(r"^[\w.]+=.+$"))
+    line = t.source_files.select(F.explode(F.split(F.replace("file_content", F.lit("\r"), F.lit("")), "\n", -1)).alias("line")).where(F.col("line").rlike(r"^[\w.]+=.+$"))
     return line.select(X.infer_typed(F.regexp_extract("line", r"^[\w.]+=(.+)$", 1)).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -105,20 +105,22 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.coalesce(X.needs_chunking(c), F.lit(False)).alias("needed"), X.estimated_chunks(c).alias("estimate"))
 
 
-@R.add("markdown_sections")
-def _(t: Tables) -> DataFrame:
-    return X.sections(t.source_files.where("file_lang = 'md'"), "file_uuid", "file_content")
+_HEADS = r"""WITH RECURSIVE l AS (SELECT id, unnest(ls) AS line, unnest(range(len(ls))) AS i, len(ls) AS n FROM (SELECT DISTINCT {id} AS id, string_split(replace({text}, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM {table})),
+ f AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fences FROM l),
+ h AS (SELECT id, i, n, length(regexp_extract(line, '^(#{{1,6}})\s', 1)) AS level, row_number() OVER (PARTITION BY id ORDER BY i) AS section_no FROM f
+  WHERE coalesce(fences, 0) % 2 = 0 AND NOT regexp_matches(line, '^\s*(```|~~~)') AND regexp_matches(line, '^#{{1,6}}\s+\S'))"""
 
 
-@R.add("document_headings", r"""SELECT doc_id AS id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line FROM documents WHERE NOT contains(text, '```') AND NOT contains(text, '~~~')) WHERE regexp_matches(line, '^#{1,6}\s+\S') GROUP BY 1""")
+@R.add("markdown_sections", _HEADS.format(id="doc_id", text="text", table="documents") + """ SELECT h.id, CAST(h.section_no AS INTEGER) AS section_no, CAST(h.level AS INTEGER) AS level, CAST(h.i + 1 AS INTEGER) AS start_line,
+ CAST(coalesce((SELECT min(x.i) FROM h x WHERE x.id = h.id AND x.section_no > h.section_no AND x.level <= h.level), any_value(h.n)) AS INTEGER) AS end_line,
+ CAST((SELECT max(x.section_no) FROM h x WHERE x.id = h.id AND x.section_no < h.section_no AND x.level < h.level) AS INTEGER) AS parent_no FROM h GROUP BY h.id, h.section_no, h.level, h.i""")
 def _(t: Tables) -> DataFrame:
-    d = t.documents.where(~F.contains("text", F.lit("```")) & ~F.contains("text", F.lit("~~~")))
-    return X.sections(d, "doc_id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return X.sections(t.documents.select("doc_id", "text").distinct(), "doc_id").drop("title")
 
 
-@R.add("document_headings_all")
+@R.add("document_headings", _HEADS.format(id="doc_id", text="text", table="documents") + " SELECT id, count(*) AS n FROM h GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return X.sections(t.documents, "doc_id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return X.sections(t.documents.select("doc_id", "text").distinct(), "doc_id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add("code_blocks", r"""SELECT doc_id AS id, len(regexp_extract_all(text, '(?ms)^```([\w+\-]*)[^\n]*\n(.*?)^```', 1)) AS n FROM documents WHERE len(regexp_extract_all(text, '(?ms)^```([\w+\-]*)[^\n]*\n(.*?)^```', 1)) > 0""")
@@ -126,20 +128,10 @@ def _(t: Tables) -> DataFrame:
     return X.code_blocks(t.documents, "doc_id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("extract_md_links", r"""SELECT DISTINCT doc_id AS id, 'link' AS kind, unnest(regexp_extract_all(text, '(?:^|[^!])\[[^\]\n]*\]\(([^)\s]+)[^)\n]*\)', 1)) AS target FROM documents""")
-def _(t: Tables) -> DataFrame:
-    return X.extract_references(t.documents, F.lit("md"), "doc_id").where("kind = 'link'")
-
-
-@R.add("extract_document_references")
-def _(t: Tables) -> DataFrame:
-    return X.extract_references(t.documents, F.lit("md"), "doc_id")
-
-
-@R.add("extract_imports", r"""SELECT DISTINCT file_uuid AS id, 'from' AS kind, unnest(regexp_extract_all(file_content, '(?m)^\s*from\s+([\w.]+)\s+import\b', 1)) AS target FROM source_files WHERE file_lang = 'py'""")
+@R.add("extract_document_references", r"""SELECT DISTINCT doc_id AS id, 'link' AS kind, unnest(regexp_extract_all(text, '(?:^|[^!])\[[^\]\n]*\]\(([^)\s]+)[^)\n]*\)', 1)) AS target FROM documents
+ UNION SELECT doc_id, 'image', unnest(regexp_extract_all(text, '!\[[^\]\n]*\]\(([^)\s]+)[^)\n]*\)', 1)) FROM documents UNION SELECT doc_id, 'url', unnest(regexp_extract_all(text, '\b(https?://[^\s<>\"'')\]]+)', 1)) FROM documents""")
 def _(t: Tables) -> DataFrame:
-    f = t.source_files.where("file_lang = 'py'").select("file_uuid", "file_lang", "file_content").distinct()
-    return X.extract_references(f, F.col("file_lang"), "file_uuid", "file_content").where("kind = 'from'")
+    return X.extract_references(t.documents, F.lit("md"), "doc_id").distinct()
 
 
 def files_by_language(t: Tables) -> DataFrame:
@@ -148,18 +140,23 @@ def files_by_language(t: Tables) -> DataFrame:
     return t.source_files.select("file_uuid", lang.alias("lang"), "file_content").distinct()
 
 
-@R.add("extract_file_references")
-def _(t: Tables) -> DataFrame:
-    return X.extract_references(files_by_language(t), F.col("lang"), "file_uuid", "file_content").distinct()
+def _by_language(patterns: dict[str, dict[str, str]], out: str) -> str:
+    """SQL of all patterns over all files, each for the languages that it belongs to. DuckDB's ``(?m)`` takes ``\\r`` for no
+    line end, as Spark's takes it for one only with ``(?d)`` off, so both read ``\\s*`` before a line's first word alike."""
+    langs = {"ts": "('ts', 'tsx', 'js', 'jsx')", "css": "('css', 'scss')"}
+    parts = []
+    for name, kinds in patterns.items():
+        where = "" if name == "any" else f" WHERE lang IN {langs.get(name, repr((name,)).replace(',)', ')'))}"
+        parts += [f"SELECT id, '{kind}' AS kind, unnest(regexp_extract_all(x, '" + p.replace("'", "''").replace("(?<!!)", "(?:^|[^!])") + f"', 1)) AS {out} FROM f{where}" for kind, p in kinds.items()]
+    return "WITH f AS (SELECT DISTINCT file_uuid AS id, coalesce(file_lang, lower(regexp_extract(source_path, '\\.(\\w+)$', 1))) AS lang, file_content AS x FROM source_files) " + " UNION ALL ".join(parts)
 
 
-@R.add("code_scopes", r"""SELECT file_uuid AS id, 'function' AS kind, unnest(regexp_extract_all(file_content, '(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)', 1)) AS name FROM (SELECT DISTINCT file_uuid, file_content FROM source_files WHERE file_lang = 'go')""")
+@R.add("extract_file_references", f"SELECT DISTINCT * FROM ({_by_language(X.REFERENCE_PATTERNS, 'target')})")
 def _(t: Tables) -> DataFrame:
-    f = t.source_files.where("file_lang = 'go'").select("file_uuid", "file_lang", "file_content").distinct()
-    return code_scopes(f, F.col("file_lang"), "file_uuid", "file_content").where("kind = 'function'")
+    return X.extract_references(files_by_language(t), F.col("lang"), "file_uuid", "file_content").distinct()
 
 
-@R.add("code_scopes_all")
+@R.add("code_scopes", _by_language(SCOPES, "name"))
 def _(t: Tables) -> DataFrame:
     return code_scopes(files_by_language(t), F.col("lang"), "file_uuid", "file_content")
 

@@ -76,3 +76,32 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def watched(spark, root: str, known: DataFrame, path_glob: str = "*") -> DataFrame:
+    """``path, change_type, seq`` of a folder against ``known(path, modified_at)``: what a watcher would have reported.
+
+    A listing compared with the last one finds every addition, change and removal since then, however long nothing
+    looked, and its repetition finds nothing; ``seq`` is the file's time of change.
+    """
+    now = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", path_glob).load(root).select(F.col("path").alias("_p"), F.col("modificationTime").alias("_t"))
+    j = known.select("path", "modified_at").join(now, F.col("path") == F.col("_p"), "full")
+    kind = F.when(F.col("path").isNull(), "created").when(F.col("_p").isNull(), "deleted").when(F.col("_t") != F.col("modified_at"), "updated")
+    return j.select(F.coalesce("_p", "path").alias("path"), kind.alias("change_type"), F.unix_micros(F.coalesce("_t", "modified_at")).alias("seq")).where("change_type is not null")
+
+
+def project_batches(events: DataFrame, sink: Callable[[str, DataFrame, int], None], checkpoint: str, project: str = "project_id", **names: str):
+    """A streaming query that hands each micro-batch's coalesced changes to ``sink`` project by project, with the batch's id.
+
+    The projects of a batch are few; their changes stay tables. All that is there is processed, then the query ends.
+    """
+
+    def run(df: DataFrame, n: int) -> None:
+        df.persist()
+        try:
+            for r in df.select(project).where(F.col(project).isNotNull()).distinct().orderBy(project).collect():
+                sink(r[0], coalesce_changes(df.where(F.col(project) == r[0]), **names), n)
+        finally:
+            df.unpersist()
+
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -15,22 +15,22 @@ from weftgraph.operators.etl import changes_between, entity_history, recent_chan
 from weftgraph.operators.retrieval import fuzzy_words, grep, vector_topk
 from weftgraph.operators.traverse import dependency_hierarchy, neighbours_by_relation
 from weftgraph.semantics import asc, desc, page
-from weftgraph.sources.files import globbed, read_tree, run_sql
+from weftgraph.operators.crawl import site_graph
+from weftgraph.operators.ownership import delete_projects, garbage, set_excluded, touch
+from weftgraph.operators.search import search
+from weftgraph.sources.files import data_file_references, globbed, read_tree, run_sql
 
-QUERY_CAP, SEMANTIC_CAP, IDS_CAP = 50, 20, 20
-
-
-def query_entities(catalog: Catalog, entity: str, conditions: Sequence[tuple[str, str, Any]] = (), order: Sequence[tuple[str, bool]] = (), limit: int = 10, offset: int = 0, fields: Sequence[str] | None = None) -> DataFrame:
+def query_entities(catalog: Catalog, entity: str, conditions: Sequence[tuple[str, str, Any]] = (), order: Sequence[tuple[str, bool]] = (), limit: int | None = 10, offset: int = 0, fields: Sequence[str] | None = None) -> DataFrame:
     e = catalog.entity(entity)
     df = e.with_computed().where(all_of([predicate(f, *convert_operator(op, v)) for f, op, v in conditions]))
     df = df.orderBy(*(asc(f) if up else desc(f) for f, up in order), e.key)
-    df = page(df, min(limit, QUERY_CAP), offset)
+    df = page(df, limit, offset)
     return df.select(*fields) if fields else df
 
 
 def get_entities_by_ids(catalog: Catalog, entity: str, ids: Sequence[Any], fields: Sequence[str] | None = None) -> DataFrame:
     e = catalog.entity(entity)
-    df = e.rows.where(F.col(e.key).isin(list(ids)[:IDS_CAP]) if ids else F.lit(False))
+    df = e.rows.where(F.col(e.key).isin(list(ids)) if ids else F.lit(False))
     return df.select(*(fields or [c for c in (e.key, e.display, e.content) if c]))
 
 
@@ -39,14 +39,14 @@ def get_entity_by_id(catalog: Catalog, entity: str, id_: Any) -> DataFrame:
     return e.with_computed().where(F.col(e.key) == id_)
 
 
-def glob_search(catalog: Catalog, entity: str, field: str, glob: str, limit: int = QUERY_CAP) -> DataFrame:
+def glob_search(catalog: Catalog, entity: str, field: str, glob: str, limit: int | None = 50) -> DataFrame:
     e = catalog.entity(entity)
-    return e.rows.where(F.col(field).rlike(glob_field(glob))).orderBy(e.key).limit(min(limit, QUERY_CAP))
+    return page(e.rows.where(F.col(field).rlike(glob_field(glob))).orderBy(e.key), limit)
 
 
 def semantic_search(catalog: Catalog, entity: str, query: Sequence[float], top_k: int = 10, minimum: float = 0.0, vec: str = "embedding") -> DataFrame:
     e = catalog.entity(entity)
-    return vector_topk(e.rows, F.array(*(F.lit(float(v)) for v in query)), min(top_k, SEMANTIC_CAP), minimum, id_col=e.key, vec_col=vec)
+    return vector_topk(e.rows, F.array(*(F.lit(float(v)) for v in query)), top_k, minimum, id_col=e.key, vec_col=vec)
 
 
 def explore_relationships(catalog: Catalog, node_id: Any, depth: int = 1, limit: int = 20) -> DataFrame:
@@ -81,6 +81,8 @@ def forget_path(rows: DataFrame, base: str, path: str = "source_path") -> DataFr
 def tool_table() -> Mapping[str, Any]:
     """Every tool by its name."""
     return {
+        "brain_search": search, "analyze_files": data_file_references, "cleanup_brain": garbage, "ingest_web_page": site_graph, "list_tables": lambda catalog: sorted(catalog.entities),
+        "describe_table": lambda catalog, name: catalog.describe(name), "touch": touch, "exclude_project": set_excluded, "delete_project": delete_projects,
         "query_entities": query_entities, "get_entity_by_id": get_entity_by_id, "get_entities_by_ids": get_entities_by_ids, "glob_search": glob_search,
         "semantic_search": semantic_search, "explore_relationships": explore_relationships, "extract_dependency_hierarchy": extract_dependency_hierarchy,
         "aggregate_entities": aggregate_entities, "entity_history": entity_history, "recent_changes": recent_changes, "changes_between": changes_between,
