@@ -30,13 +30,13 @@ class HashingEmbedder:
         self.dim = dim
 
     def embed(self, texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
+        out = np.zeros((len(texts), self.dim))
         for i, t in enumerate(texts):
             for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                out[i, h % self.dim] += 1 if h >> 63 else -1
+                h = int(hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
+                out[i, h % self.dim] += 1 if h // self.dim % 2 else -1
         n = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(n == 0, 1, n)
+        return (out / np.where(n == 0, 1, n)).astype(np.float32)
 
 
 class EchoGenerator:

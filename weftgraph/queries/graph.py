@@ -190,19 +190,10 @@ def _(t: Tables) -> DataFrame:
     return best.join(refs, "src").select("src", F.col("full").alias("target"), "type", "dst").distinct()
 
 
-@R.add("resolve_imports", """WITH c AS (SELECT DISTINCT r.ref_id AS src, r.ref_source AS spec, e.o, regexp_replace(r.source_path, '[^/]*$', '') || substr(r.ref_source, 3) || e.x AS path
- FROM extracted_refs r, (VALUES (0, ''), (1, '.ts'), (2, '.js'), (3, '.py'), (4, '/index.ts'), (5, '/index.js'), (6, '/index.py')) e(o, x) WHERE starts_with(r.ref_source, './'))
- SELECT src, spec, min_by(path, o) AS path FROM c WHERE path IN (SELECT source_path FROM source_files) GROUP BY 1, 2""")
-def _(t: Tables) -> DataFrame:
-    i = t.extracted_refs.where(F.startswith("ref_source", F.lit("./"))).select(
-        F.col("ref_id").alias("src"), F.col("ref_source").alias("spec"), F.concat(F.regexp_replace("source_path", "[^/]*$", ""), F.substring("ref_source", 3, 1 << 30)).alias("base")).distinct()
-    return T.resolve_imports(i, t.source_files.select(F.col("source_path").alias("path")), [".ts", ".js", ".py"])
-
-
 _SPELLINGS = ", ".join(f"({i}, '{x}')" for i, x in enumerate(("", *EXTENSIONS, *(f"/index{e}" for e in EXTENSIONS))))
 
 
-@R.add("resolve_imports_all", rf"""WITH r AS (SELECT DISTINCT ref_id AS src, ref_source AS spec, source_path, regexp_replace(ref_source, '[#?].*$', '', 's') AS bare
+@R.add("resolve_imports", rf"""WITH r AS (SELECT DISTINCT ref_id AS src, ref_source AS spec, source_path, regexp_replace(ref_source, '[#?].*$', '', 's') AS bare
   FROM extracted_refs WHERE is_local OR regexp_matches(ref_source, '^\.\.?/')),
  b AS (SELECT src, spec, list_reduce(list_prepend('', string_split(CASE WHEN starts_with(bare, '/') THEN bare ELSE regexp_replace(source_path, '[^/]*$', '') || bare END, '/')),
    lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN x IN ('', '.') THEN acc ELSE acc || '/' || x END) AS base FROM r WHERE trim(bare) <> ''),

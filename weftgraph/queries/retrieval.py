@@ -77,14 +77,15 @@ FIELDS = {"name": "doc_kind", "description": "source", "content": "text"}
 _TERMS = {"name": "doc_kind", "description": "source", "content": "text"}
 
 
-def _bm25_sql(terms: list[str]) -> str:
+def _bm25_sql(terms: list[str], fuzzy: int = 0) -> str:
+    same = f"levenshtein(x, q.t) <= {fuzzy}" if fuzzy else "x = q.t"
     parts = " UNION ALL ".join(
         f"SELECT doc_id AS id, '{f}' AS field, {w}::DOUBLE AS w, list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 0) AS terms FROM documents"
         for (f, c), w in zip(_TERMS.items(), (3, 2, 1))
     )
     values = ", ".join(f"('{x}')" for x in terms)
     return f"""WITH flat AS ({parts}), st AS (SELECT field, count(*) AS n, avg(len(terms)) AS avgdl FROM flat GROUP BY 1),
- tf AS (SELECT id, field, w, len(terms) AS len, q.t AS term, len(list_filter(terms, lambda x: x = q.t)) AS tf FROM flat, (VALUES {values}) q(t)),
+ tf AS (SELECT id, field, w, len(terms) AS len, q.t AS term, len(list_filter(terms, lambda x: {same})) AS tf FROM flat, (VALUES {values}) q(t)),
  hit AS (SELECT * FROM tf WHERE tf > 0), d AS (SELECT field, term, count(*) AS df FROM hit GROUP BY 1, 2),
  bm AS (SELECT id, sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avgdl))) AS score, count(DISTINCT hit.term) AS nt
    FROM hit JOIN d ON d.field = hit.field AND d.term = hit.term JOIN st ON st.field = hit.field GROUP BY id HAVING nt = {len(terms)})"""
@@ -101,7 +102,7 @@ def _(t: Tables) -> DataFrame:
     return V.bm25(t.documents, FIELDS, "api parser edge", id_col="doc_id").select("id")
 
 
-@R.add("fulltext_fuzzy")
+@R.add("fulltext_fuzzy", _bm25_sql(["parsr"], 1) + " SELECT id, round(score, 6) AS score FROM bm")
 def _(t: Tables) -> DataFrame:
     return V.bm25(t.documents, FIELDS, "parsr", fuzzy=1, id_col="doc_id").withColumn("score", F.round("score", 6))
 

@@ -93,7 +93,15 @@ def _(t: Tables) -> DataFrame:
     return t.events.select("event_type", F.from_json("props", "k long")["k"].alias("k")).groupBy("event_type").agg(F.sum("k").alias("k"))
 
 
-@R.add("chunk_documents")
+@R.add("chunk_documents", f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS d, doc_id AS id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
+ l AS (SELECT d, id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+ p AS (SELECT d, id, row_number() OVER (PARTITION BY d ORDER BY i, k) - 1 AS i, substr(line, 1 + {X.MAX_CHARS} * k, {X.MAX_CHARS}) AS line FROM (SELECT *, unnest(range(greatest(1, CAST(ceil(length(line) / {X.MAX_CHARS}) AS BIGINT)))) AS k FROM l)),
+ c AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY d ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, count(*) OVER (PARTITION BY d) AS n FROM p),
+ e AS (SELECT a.d, a.id, a.i, a.pos, a.n, greatest(a.i + 1, a.i + count(*) FILTER (b.pos + length(b.line) + CASE WHEN b.i < b.n - 1 THEN 1 ELSE 0 END <= a.pos + {X.MAX_CHARS})) AS stop FROM c a JOIN c b ON b.d = a.d AND b.i >= a.i AND b.i < a.i + {X.MAX_LINES} GROUP BY a.d, a.id, a.i, a.pos, a.n),
+ w AS (SELECT d, i, stop, n FROM e WHERE i = 0 UNION ALL SELECT e.d, e.i, e.stop, e.n FROM w JOIN e ON e.d = w.d AND e.i = greatest(w.i + 1, w.stop - {X.OVERLAP}) WHERE w.stop < w.n),
+ b AS (SELECT w.d, w.i, w.stop, any_value(c.id) AS id, min(c.pos) AS pos, string_agg(c.line, chr(10) ORDER BY c.i) AS text FROM w JOIN c ON c.d = w.d AND c.i >= w.i AND c.i < w.stop GROUP BY ALL)
+ SELECT id, text, CAST(row_number() OVER (PARTITION BY d ORDER BY i) - 1 AS INTEGER) AS "index", CAST(pos AS INTEGER) AS start_char, CAST(pos + length(text) AS INTEGER) AS end_char, CAST(i + 1 AS INTEGER) AS start_line, CAST(stop AS INTEGER) AS end_line
+ FROM b WHERE i = 0 OR length(text) >= {X.MIN_CHUNK}""")
 def _(t: Tables) -> DataFrame:
     return X.chunks(t.documents, "doc_id", "text")
 
@@ -220,14 +228,18 @@ def _(t: Tables) -> DataFrame:
     return line_diff(pair, "old", "new").select("source_path", "change_type", "lines_added", "lines_removed")
 
 
-@R.add("hash_embeddings")
+@R.add("hash_embeddings", r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}\x0b\x1c-\x1f\x{85}]+'), lambda x: x <> '')) AS w FROM documents),
+ h AS (SELECT doc_id, CAST('0x' || left(md5(w), 15) AS UBIGINT) AS h FROM w), c AS (SELECT doc_id, CAST(h % 64 AS INTEGER) AS place, sum(CASE WHEN (h // 64) % 2 = 1 THEN 1 ELSE -1 END) AS x FROM h GROUP BY 1, 2)
+ SELECT doc_id, place, round(CAST(CAST(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM c WHERE x <> 0""")
 def _(t: Tables) -> DataFrame:
-    return embed_column(t.documents.select("doc_id", "text"), "text", "vec", HashingEmbedder()).select("doc_id", F.size("vec").alias("dim"))
+    v = embed_column(t.documents.select("doc_id", "text"), "text", "vec", HashingEmbedder())
+    return v.select("doc_id", F.posexplode("vec").alias("place", "value")).where("value <> 0").select("doc_id", "place", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
-@R.add("structured_generate_mock")
+@R.add("structured_generate_mock", "SELECT doc_id, left(text, 40) AS summary, CAST(length(text) AS BIGINT) AS length FROM documents WHERE text IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    return generate(t.projects.select("project_id", "project_name"), EchoGenerator(), {"summary": "string", "length": "long"})
+    d = t.documents.where("text is not null").select("doc_id", "text")
+    return generate(d, EchoGenerator(), {"summary": "string", "length": "long"}).drop("text")
 
 
 # conversations
@@ -293,9 +305,12 @@ def _(t: Tables) -> DataFrame:
     return c.groupBy("tool_name").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("success"), 1)).alias("n_ok"), F.max("duration_ms").alias("longest_ms"))
 
 
-@R.add("token_packs")
+@R.add("token_packs", _PM.replace("WITH m", "WITH RECURSIVE m") + """, o AS (SELECT conversation_id, uuid, CAST(ceil(char_count / 4) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY conversation_id ORDER BY ts, uuid) AS i FROM m),
+ w AS (SELECT conversation_id, uuid, i, CAST(0 AS BIGINT) AS pack, 1000 + tokens AS total, 1 AS n FROM o WHERE i = 1
+  UNION ALL SELECT o.conversation_id, o.uuid, o.i, CASE WHEN w.total + o.tokens > 2500 OR w.n >= 20 THEN w.pack + 1 ELSE w.pack END, CASE WHEN w.total + o.tokens > 2500 OR w.n >= 20 THEN 1000 + o.tokens ELSE w.total + o.tokens END,
+   CASE WHEN w.total + o.tokens > 2500 OR w.n >= 20 THEN 1 ELSE w.n + 1 END FROM w JOIN o ON o.conversation_id = w.conversation_id AND o.i = w.i + 1) SELECT uuid, pack FROM w""")
 def _(t: Tables) -> DataFrame:
-    m = plain_messages(t).withColumn("tokens", F.ceil(F.col("char_count") / 4)).withColumn("place", F.unix_micros(F.col("ts").cast("timestamp")))
+    m = plain_messages(t).withColumn("tokens", F.ceil(F.col("char_count") / 4)).withColumn("place", F.concat_ws(" ", F.lpad(F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), 20, "0"), "uuid"))
     return T.pack_by_tokens(m.select("conversation_id", "uuid", "tokens", "place"), F.col("conversation_id"), "tokens", 2500).select("uuid", "pack")
 
 
