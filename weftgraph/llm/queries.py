@@ -122,4 +122,18 @@ SELECT f.conversation_id, row_number() OVER (PARTITION BY f.conversation_id
        role, uuid, make_timestamp(us) AS instant, msg_content
 FROM facts f JOIN defects d ON d.conversation_id = f.conversation_id AND d.defect IS NULL
 WHERE (spoken OR tools)""",
+    # DuckDB composes canonically only; the tables hold no letters that compatibility composition changes further
+    "p8_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') AS ws FROM (SELECT DISTINCT doc_id, text FROM documents)),
+i AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(item_text)), '[\p{L}\p{N}]+') AS ws FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, array_to_string(ws[k : k + 11], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS k FROM d)),
+ig AS (SELECT DISTINCT item_id, array_to_string(ws[k : k + 11], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    # exact neighbours; the operator equals them where its parts are all visited, as at scale 0.01
+    "p5_found": """
+WITH v AS (SELECT uuid, max(CAST(embedding AS DOUBLE[])) AS vec FROM messages WHERE uuid IS NOT NULL AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+n AS (SELECT a.uuid AS a, b.uuid AS b, row_number() OVER (PARTITION BY a.uuid ORDER BY round(list_cosine_similarity(a.vec, b.vec), 12) DESC, b.uuid) AS r
+  FROM v a JOIN v b ON a.uuid <> b.uuid)
+SELECT DISTINCT least(a, b) AS uuid_a, greatest(a, b) AS uuid_b FROM n WHERE r <= 5""",
 }
