@@ -271,7 +271,7 @@ def spelled(rows, patterns):
 def test_all_languages_and_kinds(spark, data_dir):
     q, read = entry.queries(), lambda name: spark.read.parquet(f"{data_dir}/{name}.parquet")
     files = {(r["file_uuid"], r["file_lang"] or (re.findall(r"\.(\w+)$", r["source_path"] or "") or [""])[0].lower(), r["file_content"]) for r in read("source_files").collect()}
-    scopes = Counter(tuple(r) for r in q["code_scopes_all"](spark, data_dir).collect())
+    scopes = Counter(tuple(r) for r in q["code_scopes"](spark, data_dir).collect())
     assert scopes == spelled(files, SCOPES) and {lang for i, lang, _ in files if any(i == x for x, *_ in scopes)} == {"go", "py", "ts", "js"}
     refs = Counter(tuple(r) for r in q["extract_file_references"](spark, data_dir).collect())
     assert refs == Counter(set(spelled(files, REFERENCE_PATTERNS))) and {k for _, k, _ in refs} > {"from", "import"}
@@ -284,7 +284,7 @@ def test_imports_of_all_local_references(spark, tmp_path):
     spark.createDataFrame([(f"/w/{p}",) for p in ("a/x.ts", "b/y.go", "b/index.tsx", "z.md", "b/c/v.css")], "source_path string").write.parquet(f"{tmp_path}/source_files.parquet")
     refs = [(1, "./x", True), (2, "../b/y", True), (3, "../b", True), (4, "../../w/./z.md#top", True), (5, "../b/c/../c/v.css?raw", True), (6, "x.ts", True), (7, "x.ts", False), (8, "../none", True), (9, "/w/z.md", True), (10, "#top", True)]
     spark.createDataFrame([(i, "/w/a/from.ts", s, x) for i, s, x in refs], "ref_id long, source_path string, ref_source string, is_local boolean").write.parquet(f"{tmp_path}/extracted_refs.parquet")
-    got = {r["src"]: r["path"] for r in entry.queries()["resolve_imports_all"](spark, str(tmp_path)).collect()}
+    got = {r["src"]: r["path"] for r in entry.queries()["resolve_imports"](spark, str(tmp_path)).collect()}
     assert got == {1: "/w/a/x.ts", 2: "/w/b/y.go", 3: "/w/b/index.tsx", 4: "/w/z.md", 5: "/w/b/c/v.css", 6: "/w/a/x.ts", 9: "/w/z.md"}
 
 
@@ -301,7 +301,7 @@ def headings(text):
 def test_headings_of_documents_with_fences(spark, data_dir, tmp_path):
     hand = [(1, "# a\n```py\n# no\n```\n## b"), (2, "~~~\n# no\n~~~"), (3, "# a\n```\n# no, the fence stays open"), (4, "# a"), (5, None), (6, "  ```\n# no\n  ```\n### c\r\n")]
     spark.createDataFrame(hand, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    run = lambda d: {r["id"]: r["n"] for r in entry.queries()["document_headings_all"](spark, str(d)).collect()}
+    run = lambda d: {r["id"]: r["n"] for r in entry.queries()["document_headings"](spark, str(d)).collect()}
     assert run(tmp_path) == {1: 2, 3: 1, 4: 1, 6: 1}
     docs = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").collect()
     want = Counter()

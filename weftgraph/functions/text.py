@@ -196,7 +196,7 @@ def extract_references(rows: DataFrame, lang: Column, id_col: str = "id", text_c
     for name, patterns in REFERENCE_PATTERNS.items():
         for kind, p in patterns.items():
             got = tagged(F.regexp_extract_all(text_col, F.lit(p), 1), kind)
-            mine = F.lit(True) if name == "any" else lang.isin("ts", "tsx", "js", "jsx") if name == "ts" else lang.isin("css", "scss") if name == "css" else lang == name
+            mine = F.lit(True) if name == "any" else lang.isin("ts", "tsx", "js", "jsx", "mjs", "cjs", "vue", "svelte") if name == "ts" else lang.isin("css", "scss") if name == "css" else lang == name
             found = F.concat(found, F.when(F.coalesce(mine, F.lit(False)), got).otherwise(F.array().cast("array<struct<kind:string,target:string>>")))
     return rows.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(found)).alias("r")).select("id", "r.kind", "r.target")
 

@@ -126,3 +126,9 @@ def members_by(rows: DataFrame, by: Sequence[str], member: str, limit: int = 100
     first = distinct.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("_m"))).where(F.col("_r") <= limit)
     lists = first.groupBy(*by).agg(F.array_sort(F.collect_list("_m")).alias("members"))
     return sizes.join(lists, list(by))
+
+
+def sample_by(rows: DataFrame, by: str, n: int, key: str) -> DataFrame:
+    """The first n rows of each value by key: a look at what a label's rows hold. Limited before the shuffle as well."""
+    w = W.partitionBy(by).orderBy(key)
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")

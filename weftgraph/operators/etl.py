@@ -127,10 +127,15 @@ def apply_transition(rows: DataFrame, state: str, key: str, wanted: DataFrame) -
 
 
 def retryable(rows: DataFrame, state: str = "node_state", retries: str = "retry_count", limit: int = MAX_RETRIES) -> DataFrame:
-    """Rows in error with tries left, those tried least first."""
+    """Rows in error with tries left."""
     return rows.where((F.col(state) == "error") & (F.coalesce(retries, F.lit(0)) < limit))
 
 
+def retry_queue(rows: DataFrame, n: int, state: str = "node_state", retries: str = "retry_count", updated: str = "updated_at", key: str = "uuid") -> DataFrame:
+    """The next n rows to try again: tried least first, then longest waiting (ties by key)."""
+    return retryable(rows, state, retries).orderBy(F.coalesce(retries, F.lit(0)), updated, key).limit(n)
+
+
 def stuck(rows: DataFrame, now: datetime | Column, minutes: int = 5, state: str = "node_state", updated: str = "updated_at") -> DataFrame:
     """Rows in a working state that were not touched for so many minutes."""
     t = now if isinstance(now, Column) else F.lit(now)

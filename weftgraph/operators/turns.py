@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.operators.segments import running_sums
 
@@ -91,27 +95,27 @@ def conversation_counters(messages: DataFrame) -> DataFrame:
 def pack_by_tokens(items: DataFrame, key: Column, tokens: str, budget: int, base: int = 1000, max_items: int = 20) -> DataFrame:
     """``pack`` numbers: items in order fill a pack until its tokens would exceed the budget or its size the limit.
 
-    Greedy packing has to see the items in order, so each key's items are folded as one group in Arrow batches.
+    Greedy packing has to see a key's items in order. They are sorted within partitions, on disk if need be, and folded
+    batch by batch with the open pack carried on, so no key's items are ever held together.
     """
-    import pandas as pd
-
-    schema = items.withColumn("_key", key).schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place", kind="stable")
-        packs, pack, total, n = [], 0, base, 0
-        for t in pdf[tokens]:
-            if n and (total + t > budget or n >= max_items):
-                pack, total, n = pack + 1, base, 0
-            total, n = total + t, n + 1
-            packs.append(pack)
-        pdf["pack"] = packs
-        return pdf.drop(columns="_key")
-
-    from pyspark.sql import types as T
-
-    out = T.StructType([*(f for f in schema if f.name != "_key"), T.StructField("pack", T.LongType())])
-    return items.withColumn("_key", key).groupBy("_key").applyInPandas(fold, out)
+    schema = T.StructType([*items.schema.fields, T.StructField("pack", T.LongType())])
+    ordered = items.withColumn("_key", key).repartition("_key").sortWithinPartitions("_key", "place")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, pack, total, n = None, 0, base, 0
+        for b in batches:
+            packs = []
+            for k, t in zip(b["_key"], b[tokens]):
+                if k != last:
+                    last, pack, total, n = k, 0, base, 0
+                if n and (total + t > budget or n >= max_items):
+                    pack, total, n = pack + 1, base, 0
+                total, n = total + t, n + 1
+                packs.append(pack)
+            b["pack"] = packs
+            yield b.drop(columns="_key")
+
+    return ordered.mapInPandas(fold, schema)
 
 
 def cascade_delete(conversation_ids: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.ids import sha256_hex
+from weftgraph.functions.maps import drop_keys, merge_maps
 from weftgraph.functions.patterns import any_label
 from weftgraph.operators import aggregate as A
 from weftgraph.operators import crawl as C
@@ -13,6 +14,8 @@ from weftgraph.operators import dialogue as D
 from weftgraph.operators import ownership as O
 from weftgraph.operators import search as S
 from weftgraph.operators import upsert as U
+from weftgraph.operators.etl import retry_queue
+from weftgraph.plans.providers import PatternExtractor, extract_entities
 from weftgraph.plans.query import get
 from weftgraph.queries.registry import Registry, Tables
 from weftgraph.queries.relational import shop
@@ -398,3 +401,35 @@ def _(t: Tables) -> DataFrame:
 @R.add("site_graph", _PG + " SELECT 'HAS_PAGE' AS type, count(*) AS n FROM n UNION ALL SELECT 'LINKS_TO', count(*) FROM l")
 def _(t: Tables) -> DataFrame:
     return C.site_graph(node_pages(t))[1].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# smaller parts
+
+
+@R.add("retry_queue", "SELECT uuid, updated_at FROM nodes WHERE node_state = 'error' AND coalesce(retry_count, 0) < 3 ORDER BY coalesce(retry_count, 0), updated_at, uuid LIMIT 40")
+def _(t: Tables) -> DataFrame:
+    return retry_queue(t.nodes, 40).select("uuid", "updated_at")
+
+
+@R.add("sample_by_label", "SELECT node_label, uuid FROM (SELECT *, row_number() OVER (PARTITION BY node_label ORDER BY uuid) AS rn FROM (SELECT DISTINCT node_label, uuid FROM nodes)) WHERE rn <= 3")
+def _(t: Tables) -> DataFrame:
+    return A.sample_by(t.nodes.select("node_label", "uuid").distinct(), "node_label", 3, "uuid")
+
+
+@R.add("order_by_priority", "SELECT uuid, recorded_at FROM nodes ORDER BY CASE node_state WHEN 'error' THEN 0 WHEN 'pending' THEN 1 ELSE 2 END, updated_at DESC, uuid, recorded_at LIMIT 50")
+def _(t: Tables) -> DataFrame:
+    rank = F.when(F.col("node_state") == "error", 0).when(F.col("node_state") == "pending", 1).otherwise(2)
+    return t.nodes.orderBy(rank, F.col("updated_at").desc(), "uuid", "recorded_at").limit(50).select("uuid", "recorded_at")
+
+
+@R.add("extracted_entities", r"SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text, '\b[a-z]+(?:[A-Z][a-z0-9]+)+\b')) AS name, 'Symbol' AS type, 0.5::DOUBLE AS confidence FROM documents WHERE trim(text) <> ''")
+def _(t: Tables) -> DataFrame:
+    return extract_entities(t.documents, PatternExtractor(), id_col="doc_id").distinct()
+
+
+@R.add("merged_maps", """SELECT event_id, event_type || '!' AS kind, CAST(user_id AS VARCHAR) AS usr, 2 AS n FROM events""")
+def _(t: Tables) -> DataFrame:
+    a = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("usr"), F.col("user_id").cast("string"), F.lit("x"), F.lit("1"))
+    b = F.create_map(F.lit("kind"), F.concat("event_type", F.lit("!")))
+    m = drop_keys(merge_maps(a, F.lit(None).cast("map<string,string>"), b), ["x"])
+    return t.events.select("event_id", m.alias("m")).select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["usr"].alias("usr"), F.size("m").alias("n"))

@@ -151,7 +151,7 @@ def files_by_language(t: Tables) -> DataFrame:
 def _by_language(patterns: dict[str, dict[str, str]], out: str) -> str:
     """SQL of all patterns over all files, each for the languages that it belongs to. DuckDB's ``(?m)`` takes ``\\r`` for no
     line end, as Spark's takes it for one only with ``(?d)`` off, so both read ``\\s*`` before a line's first word alike."""
-    langs = {"ts": "('ts', 'tsx', 'js', 'jsx')", "css": "('css', 'scss')"}
+    langs = {"ts": "('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs', 'vue', 'svelte')", "css": "('css', 'scss')"}
     parts = []
     for name, kinds in patterns.items():
         where = "" if name == "any" else f" WHERE lang IN {langs.get(name, repr((name,)).replace(',)', ')'))}"
