@@ -17,7 +17,10 @@ from weftgraph.session import Scratch
 
 
 def segmented(rows: DataFrame, keys: Sequence[str], place: Sequence[str], parts: int | None = None) -> DataFrame:
-    """Rows with ``_seg``, the number of their range of (keys, place); written, so that a number means one range."""
+    """Rows with ``_seg``, the number of their range of (keys, place); written, so that a number means one range. Rows
+    that have it already stay as they are, so several figures in one order cost one such pass."""
+    if "_seg" in rows.columns:
+        return rows
     spark = rows.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     got = rows.repartitionByRange(n, *keys, *place).withColumn("_seg", F.spark_partition_id())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.segments import previous, running_sums
+from weftgraph.operators.segments import previous, running_sums, segmented
 
 
 def coalesce_changes(events: DataFrame, key: str = "path", kind: str = "change_type", order: str = "seq") -> DataFrame:
@@ -65,7 +65,7 @@ def expired(rows: DataFrame, now, days: int, ts: str = "last_access", key: str =
 def gap_sessions(events: DataFrame, gap_seconds: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """``key, session_no, start, end, n`` by gaps between neighbouring events, for finished tables."""
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    e = previous(events, [key], [ts, tie], ts, "_before")
+    e = previous(segmented(events, [key], [ts, tie]), [key], [ts, tie], ts, "_before")
     new = F.coalesce(us(ts) - us("_before") > gap_seconds * 1_000_000, F.lit(True)).cast("int")
     s = running_sums(e.withColumn("_new", new), [key], [ts, tie], {"session_no": F.col("_new")})
     return s.groupBy(key, "session_no").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n"))
