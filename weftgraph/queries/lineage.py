@@ -91,6 +91,10 @@ FROM live l LEFT JOIN walk w ON w.id = l.id
 LEFT JOIN (SELECT anc, CAST(count(*) - 1 AS BIGINT) AS n FROM pairs GROUP BY anc) n ON n.anc = l.id
 """
 
+_P3_WHOLE = _P3_ALL.replace("name AS path FROM live", "name AS path, CAST([] AS VARCHAR[]) AS chain FROM live").replace(
+    "w.path || '/' || c.name FROM walk", "w.path || '/' || c.name, list_append(w.chain, w.id) FROM walk"
+).replace("w.path AS path,", "w.path AS path, w.chain AS ancestors,")
+
 _P3_PAIRS = f"""{_WALK},
 pairs AS (
   SELECT w.id AS anc, w.id AS node, CAST(0 AS BIGINT) AS d FROM walk w
@@ -156,6 +160,7 @@ orphans AS (
 SQL = {
     "p3_found": _P3,
     "p3_hierarchy": _P3_ALL,
+    "p3_whole": _P3_WHOLE,
     "p3_descendants": _P3_PAIRS,
     "p4_found": _P4,
     "p7_found": _P7 + "SELECT * FROM orphans",
