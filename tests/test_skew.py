@@ -106,10 +106,10 @@ def test_similar_vectors_against_all_pairs(spark, pivots):
     for c in range(12):
         centre = [r.gauss(0, 1) for _ in range(6)]
         rows += [(c * 10 + i, "hot" if c % 3 else "b", [x + r.gauss(0, 0.15) for x in centre]) for i in range(10)]
-    rows += [(500, "hot", [0.0] * 6), (501, "hot", None), (502, "hot", [1.0]), (503, None, [1.0] * 6)]
+    rows += [(500, "hot", [0.0] * 6), (501, "hot", None), (502, "hot", [1.0]), (504, "hot", [2.0]), (503, None, [1.0] * 6)]
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
     ok = [x for x in rows if x[0] < 500]
-    want = {(a[0], b[0]) for a in ok for b in ok if a[0] < b[0] and a[1] == b[1] and cos(a[2], b[2]) >= 0.9}
+    want = {(a[0], b[0]) for a in ok for b in ok if a[0] < b[0] and a[1] == b[1] and cos(a[2], b[2]) >= 0.9} | {(502, 504)}
     got = [(x["a"], x["b"]) for x in similar_vectors_in_type(spark.createDataFrame(rows, "id long, type string, vec array<double>"), 0.9, pivots).collect()]
     assert set(got) == want and len(got) == len(want) and len(want) > 50
 

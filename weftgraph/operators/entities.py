@@ -48,27 +48,31 @@ def similar_vectors_in_type(entities: DataFrame, threshold: float = 0.9, pivots:
     rows = rows.where("id is not null and type is not null and vec is not null").withColumn("_n", norm(F.col("vec"))).where("_n > 0")
     unit = Scratch(spark, "similar-vectors").write(rows.select("id", "type", F.transform("vec", lambda x: x / F.col("_n")).alias("vec")))
     drawn = unit.select("vec").orderBy(F.xxhash64("vec")).limit(pivots)  # a bounded number of vectors
-    centres = np.array([r["vec"] for r in drawn.collect()], dtype=float)
+    by_dim: dict[int, list] = {}
+    for r in drawn.collect():
+        by_dim.setdefault(len(r["vec"]), []).append(r["vec"])
+    centres = {d: np.array(v, dtype=float) for d, v in by_dim.items()}
     angle = float(np.arccos(min(1.0, max(-1.0, threshold)))) + 1e-9
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, kind, v in zip(b["id"], b["type"], b["vec"]):
-                if len(v) != centres.shape[1]:
-                    continue
-                far = np.arccos(np.clip(centres @ np.asarray(v), -1, 1))
-                home = int(far.argmin())
-                for p in np.flatnonzero(far <= far[home] + 2 * angle):
-                    band = int(far[p] // angle)
-                    out.append((i, kind, v, int(p), band, float(far[p]), bool(p == home)))
-            yield pd.DataFrame(out, columns=["id", "type", "vec", "pivot", "band", "far", "home"])
+        for whole in batches:
+            for dim, b in whole.groupby(whole["vec"].map(len)):
+                x = np.stack(b["vec"].to_numpy())
+                # a length that no pivot has is one cell
+                far = np.arccos(np.clip(x @ centres[dim].T, -1, 1)) if dim in centres else np.zeros((len(b), 1))
+                row, pivot = np.nonzero(far <= far.min(axis=1, keepdims=True) + 2 * angle)
+                out = b.iloc[row].reset_index(drop=True)
+                out["dim"], out["pivot"], out["far"] = np.int32(dim), pivot.astype(np.int32), far[row, pivot]
+                out["band"] = (out["far"] // angle).astype(np.int32)
+                out["home"] = far.argmin(axis=1)[row] == pivot
+                yield out[["id", "type", "vec", "dim", "pivot", "band", "far", "home"]]
 
     id_type = dict(unit.dtypes)["id"]
-    placed = unit.mapInPandas(place, f"id {id_type}, type string, vec array<double>, pivot int, band int, far double, home boolean")
-    host = placed.where("home").select("type", "pivot", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("id").alias("h"), F.col("vec").alias("hv"), F.col("far").alias("hf"))
-    guest = placed.select("type", "pivot", "band", F.col("id").alias("g"), F.col("vec").alias("gv"), F.col("far").alias("gf"))
-    j = host.join(guest, ["type", "pivot", "band"]).where((F.col("h") != F.col("g")) & (F.abs(F.col("hf") - F.col("gf")) <= angle))
+    placed = unit.mapInPandas(place, f"id {id_type}, type string, vec array<double>, dim int, pivot int, band int, far double, home boolean")
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    host = placed.where("home").select("type", "dim", "pivot", near, F.col("id").alias("h"), F.col("vec").alias("hv"), F.col("far").alias("hf"))
+    guest = placed.select("type", "dim", "pivot", "band", F.col("id").alias("g"), F.col("vec").alias("gv"), F.col("far").alias("gf"))
+    j = host.join(guest, ["type", "dim", "pivot", "band"]).where((F.col("h") != F.col("g")) & (F.abs(F.col("hf") - F.col("gf")) <= angle))
     s = j.withColumn("similarity", cosine(F.col("hv"), F.col("gv"))).where(F.col("similarity") >= threshold)
     pair = s.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b"), "similarity")
     return pair.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))

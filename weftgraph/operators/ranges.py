@@ -19,8 +19,8 @@ def containing_ranges(points: DataFrame, ranges: DataFrame, group: str, at: str,
     r = ranges.where(F.col(end) >= F.col(start)).withColumn("_level", level)
     width = F.expr("shiftleft(1L, _level)")
     r = r.withColumn("_bucket", F.explode(F.array_distinct(F.array(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))))
-    # at most 64 levels occur
-    levels = r.agg(F.array_sort(F.collect_set("_level")).alias("_levels"))
-    p = points.where(F.col(at).isNotNull()).join(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).drop("_levels")
+    # at most 64 numbers
+    levels = r.agg(F.array_sort(F.collect_set("_level"))).head()[0]
+    p = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     p = p.withColumn("_bucket", F.floor(F.col(at) / F.expr("shiftleft(1L, _level)")))
     return p.join(r, [group, "_level", "_bucket"]).where(F.col(at).between(F.col(start), F.col(end))).drop("_level", "_bucket")

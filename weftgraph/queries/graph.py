@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators import etl as E
 from weftgraph.operators import traverse as T
 from weftgraph.operators.orphans import EXTENSIONS, resolve_path
+from weftgraph.operators.segments import previous
 from weftgraph.queries.registry import Registry, Tables
 from weftgraph.queries.relational import _CH, event_changes, shop
 from weftgraph.tools import list_projects
@@ -27,9 +28,9 @@ _NE = "WITH RECURSIVE e AS (SELECT DISTINCT upper(parent_uuid) AS src, uuid AS d
 
 def follows(t: Tables) -> DataFrame:
     """From each event's user to the user of the next event of that day, if another: once per pair and type."""
-    w = W.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    e = t.events.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"), F.col("event_type").alias("type"))
-    return e.where("dst is not null and src <> dst").distinct()
+    e = t.events.select(F.to_date("ts").alias("day"), "ts", "event_id", F.struct("user_id", "event_type").alias("own"))
+    e = previous(e, ["day"], ["ts", "event_id"], "own", "before").select(F.col("before.user_id").alias("src"), F.col("own.user_id").alias("dst"), F.col("before.event_type").alias("type"))
+    return e.where("src is not null and src <> dst").distinct()
 
 
 _FO = """WITH RECURSIVE f AS (SELECT DISTINCT src, dst, type FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst, event_type AS type FROM events)

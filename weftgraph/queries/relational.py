@@ -9,7 +9,6 @@ from weftgraph.operators.ranges import containing_ranges
 from weftgraph.functions.patterns import all_of, compile_filter, glob_field, glob_names, glob_path, glob_unanchored, predicate, project_scope, url_allowed
 from weftgraph.model import Catalog, Entity, Relationship, missing_required, schema_fingerprint
 from weftgraph.operators import aggregate as A
-from weftgraph.operators.traverse import path_ancestors
 from weftgraph.operators.versions import current_rows
 from weftgraph.functions.ids import unpack_uuid
 from weftgraph.plans.pipeline import Pipeline

@@ -136,17 +136,17 @@ def _(t: Tables) -> DataFrame:
     return V.reciprocal_rank_fusion([sem, lex], depth=60).withColumn("score", F.round("score", 9)).orderBy(F.col("score").desc(), "id")
 
 
-_ND = "(SELECT DISTINCT uuid, node_name, source_path FROM nodes WHERE node_label IN ('File', 'DataFile'))"
+_ND = "(SELECT DISTINCT uuid, node_name, source_path, parser_name FROM nodes)"
 
 
 @R.add("keyword_boost", f"""WITH w AS (SELECT uuid, field, kw, CASE WHEN trim(txt) = '' THEN 0 WHEN contains(txt, 'cache') OR contains(txt, 'tokenizer') THEN 1 ELSE
   coalesce(list_max(list_transform(list_filter(regexp_split_to_array(txt, '[\\s.\\-_/\\\\:,;()\\[\\]{{}}]+'), lambda x: length(x) > 2),
    lambda x: CASE WHEN x = kw THEN 1.0 ELSE 1 - levenshtein(x, kw)::DOUBLE / greatest(length(x), length(kw)) END)), 0) END AS s
-  FROM (SELECT uuid, 'a' AS field, lower(coalesce(node_name, '')) AS txt FROM {_ND} UNION ALL SELECT uuid, 'b', lower(coalesce(source_path, '')) FROM {_ND}), (VALUES ('cache'), ('tokenizer')) k(kw))
+  FROM (SELECT uuid, 'a' AS field, lower(coalesce(node_name, '')) AS txt FROM {_ND} UNION ALL SELECT uuid, 'b', lower(coalesce(source_path, '')) FROM {_ND} UNION ALL SELECT uuid, 'c', lower(coalesce(parser_name, '')) FROM {_ND}), (VALUES ('cache'), ('tokenizer')) k(kw))
  SELECT uuid, round(0.5 + CASE WHEN max(s) >= 0.6 THEN max(s) * 0.15 ELSE 0 END, 6) AS score FROM w GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    n = t.nodes.where("node_label in ('File', 'DataFile')").select("uuid", "node_name", "source_path").distinct().withColumn("score", F.lit(0.5))
-    return V.keyword_boost(n, ["cache", "tokenizer"], ["node_name", "source_path"]).groupBy("uuid").agg(F.round(F.max("score"), 6).alias("score"))
+    n = t.nodes.select("uuid", "node_name", "source_path", "parser_name").distinct().withColumn("score", F.lit(0.5))
+    return V.keyword_boost(n, ["cache", "tokenizer"], ["node_name", "source_path", "parser_name"]).groupBy("uuid").agg(F.round(F.max("score"), 6).alias("score"))
 
 
 def judged(t: Tables) -> tuple[DataFrame, DataFrame]:
