@@ -39,18 +39,24 @@ _NUM, _NAME, _UNIT, _FIRST = 1, 2, 3, 4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+_BREAK = re.compile(r"[.!?:;\n]")
+
+
 def words_of(text: str) -> list[str]:
     """Runs of letters and digits after compatibility composition, in lower case."""
-    return _WORD.findall(unicodedata.normalize("NFKC", text).lower())
+    return _words(unicodedata.normalize("NFKC", text))
+
+
+def _words(composed: str) -> list[str]:
+    return _WORD.findall(composed.lower())
 
 
-def _cased(text: str) -> list[tuple[str, bool, bool]]:
-    """(word in lower case, starts with a capital, begins a sentence)."""
-    t = unicodedata.normalize("NFKC", text)
-    out, end = [], 0
-    for m in _WORD.finditer(t):
-        first = not out or bool(re.search(r"[.!?:;\n]", t[end : m.start()]))
-        out.append((m[0].lower(), m[0][:1].isupper(), first))
+def _capitals(composed: str) -> set[str]:
+    """Words in lower case that have a capital somewhere inside a sentence."""
+    out, end = set(), 0
+    for m in _WORD.finditer(composed):
+        if composed[m.start()].isupper() and end and not _BREAK.search(composed, end, m.start()):
+            out.add(m[0].lower())
         end = m.end()
     return out
 
@@ -65,10 +71,13 @@ def word_facts(items: DataFrame) -> DataFrame:
         for b in batches:
             seen: dict[str, list[bool]] = {}
             for text in b["item_text"]:
-                for w, cap, first in _cased(text):
+                composed = unicodedata.normalize("NFKC", text)
+                inside = _capitals(composed)
+                for m in _WORD.finditer(composed):
+                    w = m[0].lower()
                     s = seen.setdefault(w, [False, False])
-                    s[0] |= not cap
-                    s[1] |= cap and not first
+                    s[0] |= not composed[m.start()].isupper()
+                    s[1] |= w in inside
             yield pd.DataFrame([(w, *s) for w, s in seen.items()], columns=["word", "small", "inside"])
 
     facts = items.mapInPandas(scan, "word string, small boolean, inside boolean")
@@ -152,10 +161,11 @@ class Filter(NamedTuple):
 
 
 def _windows(key, text: str, vocab, names, keep: Filter | None, cased: bool) -> Iterator[tuple]:
-    words = words_of(text)
+    composed = unicodedata.normalize("NFKC", text)
+    words = _words(composed)
     if len(words) < WINDOW:
         return
-    capital = {w for w, cap, first in _cased(text) if cap and not first} if cased else set()
+    capital = _capitals(composed) if cased else set()
     codes = _codes(words, vocab, names, capital)
     h = _hashes(codes)
     at = np.arange(len(h)) if keep is None else np.flatnonzero(keep.may_hold(h) & (h != 0))
