@@ -20,7 +20,7 @@ LEVEL_CONFIDENCE = {0: 1.0, 1: 0.7, 2: 0.5}
 
 
 def literal_vector(values: Sequence[float]) -> Column:
-    return F.array(*(F.lit(float(v)) for v in values))
+    return F.array(*(F.lit(float(v)) for v in values)).cast("array<double>")
 
 
 def vector_topk(rows: DataFrame, query: Column, k: int | None = 10, minimum: float | None = None, *, id_col: str = "id", vec_col: str = "vec", where: Column | None = None) -> DataFrame:

@@ -14,8 +14,9 @@ QUERIES, SQL = R.queries, R.sql
 
 
 def first_vector(t: Tables):
-    """The query vector: the one with the smallest id."""
-    return V.literal_vector(t.embeddings.orderBy("vec_id").select("embedding").head()[0])
+    """The query vector: the one with the smallest id; one of no numbers, similar to nothing, if there is none."""
+    first = t.embeddings.orderBy("vec_id").select("embedding").head()
+    return V.literal_vector(first[0] if first else [])
 
 
 _COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"

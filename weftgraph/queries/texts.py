@@ -12,7 +12,7 @@ from weftgraph.operators.entities import mention_graph
 from weftgraph.operators.etl import line_diff
 from weftgraph.plans.providers import EchoGenerator, HashingEmbedder, embed_column, generate
 from weftgraph.queries.registry import Registry, Tables
-from weftgraph.session import shared_dir
+from weftgraph.session import exists, shared_dir
 from weftgraph.sources.files import SCOPES, code_scopes, data_file_references, data_file_sections, globbed, parser_name
 from weftgraph.streaming import changes as S
 
@@ -357,7 +357,8 @@ def _(t: Tables) -> DataFrame:
     out = f"{shared_dir(t.spark)}/weftgraph/stream-{uuid.uuid4().hex}"
     q = S.tumbling(stream(t), "1 hour").writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/data")).outputMode("complete")
     q.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{out}/data")
+    # a stream without rows runs no batch and writes nothing
+    return t.spark.read.parquet(f"{out}/data") if exists(t.spark, f"{out}/data") else S.tumbling(t.events.limit(0), "1 hour")
 
 
 @R.add("sliding_counts", "SELECT w AS window_start, count(*) AS n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts - INTERVAL 6 HOUR * i) AS w FROM events, range(0, 4) r(i)) GROUP BY 1")
